@@ -1,0 +1,68 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, read from ``spark.checkpoint.dir``.
+
+    Only a single-JVM session (``local[...]``) may go without the setting; it
+    gets a temporary folder of its own. On a cluster a missing setting is an
+    error, because a machine-local folder would lose rows.
+    """
+    found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{_SETTING} must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="lineaframe-")
+    spark.conf.set(_SETTING, own)
+    return own
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return the written table.
+
+    The result has no lineage to recompute and survives the loss of any
+    executor; nothing is stored on one machine only.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by :func:`keep` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so that their Python can import them."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    bundle = Path(tempfile.mkdtemp(prefix="lineaframe-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for module in sorted([package / "__init__.py", *package.glob("llm/*.py")]):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    _shipped.add(context.applicationId)
