@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lineaframe.llm import decontam, mixing, pii, quality, simhash
 from lineaframe.llm.queries import table
-from lineaframe.llm.storage import keep
+from lineaframe.storage import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

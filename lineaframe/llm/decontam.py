@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineaframe.llm.storage import keep, ship
+from lineaframe.storage import keep, ship
 
 #: Words of a window; shorter items are one window.
 WINDOW = 10

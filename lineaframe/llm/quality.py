@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineaframe.llm.storage import ship
+from lineaframe.storage import ship
 
 CELL = 64
 LAGS = 24

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineaframe.llm.storage import forget, keep, ship
+from lineaframe.storage import forget, keep, ship
 
 MOST_BITS = 3
 SHINGLE = 3

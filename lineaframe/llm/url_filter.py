@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineaframe.llm.storage import ship
+from lineaframe.storage import ship
 
 #: Rule lists up to this many characters are broadcast as a trie; longer ones are joined.
 BROADCAST_CHARS = 32_000_000
