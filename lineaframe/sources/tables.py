@@ -67,15 +67,20 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = RID) -
     return numbered.drop("__range", "__place", "__before")
 
 
-def from_dataframe(df: DataFrame, title: str, row_number: str | None = None, order: Sequence[str] = (), source_id: int = 0) -> Table:
+def from_dataframe(
+    df: DataFrame, title: str, row_number: str | None = None, order: Sequence[str] = (), source_id: int = 0, as_stored: bool = False
+) -> Table:
     """A table of a DataFrame's columns; arrays and other types without a counterpart are left out.
 
     Rows are numbered by the unique integer column ``row_number``, or else
     densely in the order of the columns ``order`` (all columns, if empty).
+    ``as_stored`` numbers them as they lie in their files instead, with gaps,
+    which costs nothing and holds for as long as the files do.
     Integers widen to 64 bits, decimals that are not finite become missing.
     """
-    rows = df if row_number else number_rows(df, order or df.columns)
-    fields, columns = [], [F.col(f"`{row_number or RID}`").cast("bigint").alias(RID)]
+    rows = df if row_number or as_stored else number_rows(df, order or df.columns)
+    number = F.monotonically_increasing_id() if as_stored else F.col(f"`{row_number or RID}`").cast("bigint")
+    fields, columns = [], [number.alias(RID)]
     for f in df.schema.fields:
         kind = kind_of(f.dataType)
         if kind is None:
