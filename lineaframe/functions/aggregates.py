@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +26,28 @@ def _row_order_sum(c: Column, position: Column) -> Column:
     return F.when(F.count(c) > 0, F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e["x"]))
 
 
+def _ranked(c: Column, pick: Callable[[Column], Column]) -> Column:
+    """``pick`` from the sorted present values of a group, which are sorted once."""
+    return F.element_at(F.transform(F.array(F.sort_array(F.collect_list(c))), pick), 1)
+
+
 def _nearest(c: Column, p: int) -> Column:
-    n = F.count(c)
-    rank = F.greatest(F.lit(1).cast("bigint"), _whole(n * p + 99, 100))
-    return F.try_element_at(F.array_sort(F.collect_list(c)), rank.cast("int"))
+    return _ranked(c, lambda a: F.get(a, (_whole(F.size(a) * p + 99, 100) - 1).cast("int")))
+
+
+def _median(c: Column) -> Column:
+    def middle(a: Column) -> Column:
+        lo = F.get(a, _whole(F.size(a) - 1, 2).cast("int"))
+        hi = F.get(a, _whole(F.size(a), 2).cast("int"))
+        return F.when(F.size(a) > 0, halfway(lo, hi))
+
+    return _ranked(c, middle)
+
+
+def halfway(lo: Column, hi: Column) -> Column:
+    """Mean of two decimals, also where their sum is too large."""
+    plain = (lo + hi) / 2
+    return F.when(F.abs(plain) < F.lit(float("inf")), plain).otherwise(lo / 2 + hi / 2)
 
 
 def _whole(a: Column, b: int) -> Column:
@@ -49,7 +67,7 @@ def simple(agg: Agg, c: Column | None, kind: Kind | None, position: Column | Non
         case "max":
             return F.max(c)
         case "median":
-            return F.percentile(c.cast("double"), F.lit(0.5))
+            return _median(c.cast("double"))
         case "percentile":
             return _nearest(c, agg.p)
     if kind is Kind.INTEGER:
@@ -82,6 +100,5 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, wanted: Seq
             columns.append(at(_whole(n * agg.p + 99, 100)).alias(name))
         else:
             lo, hi = at(_whole(n + 1, 2)).cast("double"), at(_whole(n, 2) + 1).cast("double")
-            plain = (lo + hi) / 2
-            columns.append(F.when(F.abs(plain) < F.lit(float("inf")), plain).otherwise(lo / 2 + hi / 2).alias(name))
+            columns.append(halfway(lo, hi).alias(name))
     return ranked.groupBy(*keys).agg(*columns)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+from lineaframe.functions.aggregates import halfway
 from lineaframe.functions.scalars import finite
 from lineaframe.operators.execution import GATHER_BYTES, INLINE_ROWS, Execution, StepTable, aggregate_step, execute, known, narrowed, run_from
 from lineaframe.operators.lineage import Lineage
@@ -116,28 +117,28 @@ class Contributions:
 def order_values(rows: DataFrame, name: str, ranks: list[int], n: int) -> list[object]:
     """Values at 0-based ranks of the ``n`` present values of a column, exactly; None for ranks that don't exist.
 
-    A quantile sketch brackets the ranks; only values inside the bracket are
+    Equal values are counted, and running counts over the sorted distinct values
+    find the ranks. In a group of more than ``SKETCH ** 2`` values a quantile
+    sketch brackets the ranks first and only values inside the bracket are
     sorted, so a task sees a few of every ``SKETCH`` rows however many there are.
     """
-    real = [r for r in ranks if 0 <= r < n]
+    real = sorted({r for r in ranks if 0 <= r < n})
     if not real:
         return [None] * len(ranks)
-    present = rows.where(F.col(name).isNotNull())
-    slack = 2 / SKETCH
-    lo, hi = max(0.0, min(real) / n - slack), min(1.0, (max(real) + 1) / n + slack)
-    bounds = present.agg(F.percentile_approx(name, [lo, hi], SKETCH).alias("b"), F.min(name).alias("least"), F.max(name).alias("most")).first()
-    low = bounds["least"] if lo == 0.0 else bounds["b"][0]
-    high = bounds["most"] if hi == 1.0 else bounds["b"][1]
-    kind = rows.schema[name].dataType
-    below = present.where(F.col(name) < known(low, kind)).count()
-    inside = present.where(F.col(name).between(known(low, kind), known(high, kind)))
-    counted = inside.groupBy(name).agg(F.count(F.lit(1)).alias("k"))
+    present, below = rows.where(F.col(name).isNotNull()), 0
+    if n > SKETCH**2:
+        kind, slack = rows.schema[name].dataType, 2 / SKETCH
+        lo, hi = max(0.0, real[0] / n - slack), min(1.0, (real[-1] + 1) / n + slack)
+        bounds = present.agg(F.percentile_approx(name, [lo, hi], SKETCH).alias("b"), F.min(name).alias("least"), F.max(name).alias("most")).first()
+        low = known(bounds["least"] if lo == 0.0 else bounds["b"][0], kind)
+        high = known(bounds["most"] if hi == 1.0 else bounds["b"][1], kind)
+        below = present.where(F.col(name) < low).count()
+        present = present.where(F.col(name).between(low, high))
+    counted = present.groupBy(name).agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)) + below
-    ranked = counted.select(name, upto.alias("upto"), "k").persist()
-    try:
-        found = ranked.agg(*[F.max(F.when((F.col("upto") - F.col("k") <= r) & (F.col("upto") > r), F.col(name))).alias(f"r{r}") for r in sorted(set(real))]).first()
-    finally:
-        ranked.unpersist()
+    ranked = counted.select(name, upto.alias("upto"), "k")
+    at = lambda r: F.max(F.when((F.col("upto") - F.col("k") <= r) & (F.col("upto") > r), F.col(name)))
+    found = ranked.agg(*[at(r).alias(f"r{r}") for r in real]).first()
     if any(found[f"r{r}"] is None for r in real):
         raise RuntimeError("the quantile sketch missed a rank")
     return [found[f"r{r}"] if r in real else None for r in ranks]
@@ -169,18 +170,21 @@ def contributions(base: Execution, row: int, column: str) -> Contributions:
     source = base.steps[step.input]
     kind = source.schema.find(spec.column).kind if spec.column else None
     x = F.col(source.columns[spec.column]) if spec.column else None
-    n_all = rows.count()
-    without, exact = _without(spec, kind, x, rows, n_all, current)
-    gone = F.lit(bool(step.group_by) and n_all == 1)
+    summed = spec.fn in ("sum", "mean")
+    total = F.sum(x.cast("decimal(38,0)") if kind is Kind.INTEGER else x) if summed else F.lit(None)
+    facts = rows.agg(F.count(F.lit(1)).alias("rows"), (F.lit(0) if x is None else F.count(x)).alias("present"), total.alias("total")).first()
+    without, exact = _without(spec, kind, x, rows, facts, current)
+    gone = F.lit(bool(step.group_by) and facts["rows"] == 1)
     out = rows.select(F.col(RID).alias("source_row"), without.alias("without"), gone.alias("removes_group"))
     return Contributions(number, column, current, exact, out)
 
 
-def _without(spec: Agg, kind: Kind | None, x: Column | None, rows: DataFrame, n_all: int, current: object) -> tuple[Column, bool]:
+def _without(spec: Agg, kind: Kind | None, x: Column | None, rows: DataFrame, facts: Row, current: object) -> tuple[Column, bool]:
+    """The cell without a row, as a column of the group's rows, and whether it is exact."""
+    n, total = facts["present"], facts["total"]
     if spec.fn == "count":
-        return F.lit(n_all - 1).cast("bigint"), True
+        return F.lit(facts["rows"] - 1).cast("bigint"), True
     present = F.when(x.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    n = rows.agg(F.count(x)).first()[0]
     if spec.fn == "count_non_null":
         return (F.lit(n).cast("bigint") - present), True
     if kind in (Kind.TEXT, Kind.BOOLEAN):
@@ -188,10 +192,8 @@ def _without(spec: Agg, kind: Kind | None, x: Column | None, rows: DataFrame, n_
     if spec.fn in ("sum", "mean"):
         left = F.lit(n) - present
         if kind is Kind.INTEGER:
-            total = rows.agg(F.sum(x.cast("decimal(38,0)"))).first()[0]
             rest = F.lit(total).cast("decimal(38,0)") - F.coalesce(x, F.lit(0)).cast("decimal(38,0)")
             return F.when(left > 0, rest.try_cast("bigint") if spec.fn == "sum" else rest.cast("double") / left), True
-        total = rows.agg(F.sum(x)).first()[0]
         rest = F.lit(total).cast("double") - F.coalesce(x, F.lit(0.0))
         return F.when(left > 0, finite(rest if spec.fn == "sum" else rest / left)), False
     name, m = "__x", n - 1
@@ -211,6 +213,5 @@ def _without(spec: Agg, kind: Kind | None, x: Column | None, rows: DataFrame, n_
         rest.append(F.when(typed <= here, after).otherwise(here))
     value = rest[0]
     if len(rest) == 2:
-        plain = (rest[0] + rest[1]) / 2
-        value = F.when(F.abs(plain) < F.lit(float("inf")), plain).otherwise(rest[0] / 2 + rest[1] / 2)
+        value = halfway(*rest)
     return F.when(x.isNull(), known(current, kind_now)).otherwise(value), True

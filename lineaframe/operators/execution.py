@@ -126,9 +126,14 @@ class Execution:
 
     def row_counts(self) -> list[int]:
         """Rows of every step, in one job."""
-        counts = [s.df.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i)) for i, s in enumerate(self.steps)]
+        keeps = (Map, Project, Sort)  # these have as many rows as what they read
+        counted = [i for i, op in enumerate(self.plan.steps) if not isinstance(op, keeps)]
+        counts = [self.steps[i].df.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i)) for i in counted]
         found = {r["i"]: r["n"] for r in reduce(DataFrame.union, counts).collect()}
-        return [found[i] for i in range(len(self.steps))]
+        out: list[int] = []
+        for i, op in enumerate(self.plan.steps):
+            out.append(found[i] if i in found else out[op.input])
+        return out
 
     def aggregates(self) -> list[int]:
         return [i for i, s in enumerate(self.plan.steps) if isinstance(s, Aggregate)]

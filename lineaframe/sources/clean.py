@@ -8,7 +8,7 @@ values, CR-10 and CR-11 only count.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +39,24 @@ _SPACE = " \t\n\f\r"
 _TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
 
 
-@dataclass(frozen=True)
 class Cleaned:
-    """``rows``: row number and ``c0, c1, ...``; ``log`` and ``rejects`` are numbered in their order."""
+    """``rows``: row number and ``c0, c1, ...``. The log and the rejects are numbered when they are first asked for."""
 
-    rows: DataFrame
-    log: DataFrame
-    rejects: DataFrame
-    counts: dict[str, int]
+    def __init__(self, spec: Dataset, rows: DataFrame, log: DataFrame, rejects: DataFrame) -> None:
+        self.spec, self.rows, self._log, self._rejects = spec, rows, log, rejects
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return number_rows(self._log, ["row_index", "column", "rule_id", "raw_value"], "log_index")
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return number_rows(self._rejects, [F.col("raw_unique_key").asc_nulls_first(), "rule_id", "raw_record"], "reject_index")
+
+    @cached_property
+    def counts(self) -> dict[str, int]:
+        """How often each rule applied."""
+        return _counts(self.rows, self._log, self._rejects, self.spec)
 
 
 def read_time(text: Column) -> Column:
@@ -119,9 +129,7 @@ def clean(records: DataFrame, spec: Dataset, scope: Scope) -> Cleaned:
     log = rows.select(RID, F.explode("entries").alias("e")).select(F.col(RID).alias("row_index"), "e.*")
     bad_keys = staged.where("key is null").select(F.col("key_text").alias("raw_unique_key"), F.lit("CR-02").alias("rule_id"), F.col("raw").alias("raw_record"))
     rejects = ruled.where("rule is not null").select(F.col("key_text").alias("raw_unique_key"), F.col("rule").alias("rule_id"), F.col("raw").alias("raw_record")).union(bad_keys)
-    log = number_rows(log, ["row_index", "column", "rule_id", "raw_value"], "log_index")
-    rejects = number_rows(rejects, [F.col("raw_unique_key").asc_nulls_first(), "rule_id", "raw_record"], "reject_index")
-    return Cleaned(rows.drop("entries"), log, rejects, _counts(rows, log, rejects, spec))
+    return Cleaned(spec, rows.drop("entries"), log, rejects)
 
 
 def _cleaned(role: Role, fields: tuple[str, ...], index: int) -> tuple[Column, list[Column]]:
