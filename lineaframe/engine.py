@@ -138,8 +138,9 @@ class Engine:
             rows = self._cells(execution.output, 0, INLINE_ROWS)
         except Exception as e:  # overflow and the like surface when rows are computed
             if getattr(e, "getCondition", lambda: None)() in _OVERFLOWS:
+                step, why = execution.overflow() or (None, "a number is too large for 64 bits")
                 execution.release()
-                return {"ok": False, "error": "a number is too large for 64 bits", "step": None}
+                return {"ok": False, "error": why, "step": step}
             raise
         number = self.next_id
         self.next_id += 1

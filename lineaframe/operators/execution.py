@@ -22,8 +22,9 @@ from pyspark.sql.types import DataType
 
 from lineaframe.functions import aggregates as agg_fns
 from lineaframe.functions.scalars import to_column
+from lineaframe.plans.expr import Call, Expr
 from lineaframe.plans.plan import Aggregate, Filter, Limit, Map, Project, Scan, Sort, ValidPlan
-from lineaframe.plans.types import Schema
+from lineaframe.plans.types import INT_MAX, INT_MIN, Kind, Schema
 from lineaframe.sources.tables import RID, Table, number_rows
 
 #: Spark's largest row count for a limit; more rows than this are left as they are.
@@ -113,7 +114,6 @@ class Execution:
     table: Table
     steps: list[StepTable]
     excluded: DataFrame | None = None
-    strict: bool = False
     pinned: list[DataFrame] = field(default_factory=list)
 
     @property
@@ -124,17 +124,69 @@ class Execution:
         """The output in its order, under its own names."""
         return self.output.visible()
 
+    def arithmetic(self, number: int) -> list[Call]:
+        """Parts of a step's expression that can overflow, inner ones first."""
+        op = self.plan.steps[number]
+        if not isinstance(op, Map | Filter):
+            return []
+        schema, found = self.plan.input_schema(number), []
+
+        def visit(e: Expr) -> None:
+            for part in e.parts():
+                visit(part)
+            if isinstance(e, Call) and e.fn in ("add", "sub", "mul") and e.infer(schema).kind in (Kind.INTEGER, Kind.TIMESTAMP):
+                found.append(e)
+
+        visit(op.expr if isinstance(op, Map) else op.predicate)
+        return found
+
     def row_counts(self) -> list[int]:
-        """Rows of every step, in one job."""
+        """Rows of every step, in one job.
+
+        The job also evaluates all whole-number arithmetic of the plan over all
+        rows of its step's input, so an overflow is an error even where Spark
+        would not have needed the value.
+        """
         keeps = (Map, Project, Sort)  # these have as many rows as what they read
-        counted = [i for i, op in enumerate(self.plan.steps) if not isinstance(op, keeps)]
-        counts = [self.steps[i].df.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i)) for i in counted]
+        tested: dict[int, list[Column]] = {}
+        for i in range(1, len(self.plan.steps)):
+            reads = self.plan.steps[i].input
+            source = self.steps[reads]
+            tested.setdefault(reads, []).extend(F.count(to_column(e, source.schema, source.refs())) for e in self.arithmetic(i))
+        counted = [i for i, op in enumerate(self.plan.steps) if not isinstance(op, keeps) or tested.get(i)]
+        one = F.count(F.lit(1)).alias("n")
+        counts = [self.steps[i].df.agg(one, F.array(*tested.get(i, [])).cast("array<bigint>").alias("tested")).withColumn("i", F.lit(i)) for i in counted]
         found = {r["i"]: r["n"] for r in reduce(DataFrame.union, counts).collect()}
         out: list[int] = []
         for i, op in enumerate(self.plan.steps):
             out.append(found[i] if i in found else out[op.input])
         return out
 
+    def overflow(self) -> tuple[int, str] | None:
+        """The first step whose whole-number arithmetic or sum overflows, and the first place where it does."""
+        for i in range(1, len(self.plan.steps)):
+            op = self.plan.steps[i]
+            source = self.steps[op.input]
+            for e in self.arithmetic(i):
+                a, b = (to_column(x, source.schema, source.refs()) for x in e.args)
+                if e.infer(source.schema).kind is not Kind.INTEGER or any(x.infer(source.schema).kind is not Kind.INTEGER for x in e.args):
+                    continue
+                tried = {"add": F.try_add, "sub": F.try_subtract, "mul": F.try_multiply}[e.fn](a, b)
+                rows = source.df.where(tried.isNull() & a.isNotNull() & b.isNotNull()).withColumns({"__a": a, "__b": b})
+                row = rows.orderBy(*source.order_columns()).first()
+                if row is not None:
+                    place = source.df.where(source.before(row.asDict())).count()
+                    return i, f"{row['__a']} {e.fn} {row['__b']} overflows a 64-bit integer (row {place})"
+            if isinstance(op, Aggregate):
+                for agg in op.aggregates:
+                    if agg.fn == "sum" and source.schema.find(agg.column).kind is Kind.INTEGER:
+                        total = agg_fns.exact_total(F.col(source.columns[agg.column])).alias("total")
+                        sums = source.df.groupBy(*[source.columns[g] for g in op.group_by]).agg(total)
+                        bad = sums.where(~F.col("total").between(INT_MIN, INT_MAX)).orderBy("total").first()
+                        if bad is not None:
+                            return i, f"the sum {bad['total']} doesn't fit in a 64-bit integer"
+        return None
+
     def aggregates(self) -> list[int]:
         return [i for i, s in enumerate(self.plan.steps) if isinstance(s, Aggregate)]
 
@@ -234,7 +286,8 @@ def execute(
     ``exact_order`` adds decimals in row order, so that totals are the same to
     the last bit however the rows are spread; it gathers each group, so it is
     for checks rather than for large data. Integer overflow is an error; as
-    Spark evaluates lazily, it shows only if the value is read.
+    Spark evaluates lazily, it shows where the value is read, or in
+    :meth:`Execution.row_counts`, which evaluates all of it.
     """
     spark = table.df.sparkSession
     if spark.conf.get("spark.sql.ansi.enabled") != "true":

@@ -217,7 +217,7 @@ def test_contributions_equal_single_exclusions(spark, seed):
     groups = ref.run(valid, rows)[-1]
     place = rng.randrange(len(groups))
     members = sorted(groups[place][1])
-    for agg in CF_AGGS:
+    for agg in CF_AGGS[seed % 2 :: 2] + CF_AGGS[4:5]:
         found = contributions(base, place, agg.name)
         got = {r["source_row"]: r for r in found.rows.collect()}
         assert sorted(got) == members
@@ -264,8 +264,13 @@ def test_sum_overflows_only_in_the_total(spark):
     engine.register(SNAP, table_of(spark, rows))
     total = engine.run(Plan.scan(SNAP).aggregate([], Agg("s", "sum", "x"), Agg("m", "mean", "x")))
     assert total["output"]["rows"] == [[str(2**63 - 7), (2**63 - 7) / 4]]
-    assert engine.run(Plan.scan(SNAP).limit(2).aggregate([], Agg("s", "sum", "x")))["ok"] is False
-    assert engine.run(Plan.scan(SNAP).map("y", col("x") + 1))["ok"] is False
+    failed = engine.run(Plan.scan(SNAP).limit(2).aggregate([], Agg("s", "sum", "x")))
+    assert failed == {"ok": False, "error": f"the sum {2**64 - 2} doesn't fit in a 64-bit integer", "step": 2}
+    # a column that nobody reads, and a condition that a false one precedes, are evaluated all the same
+    failed = engine.run(Plan.scan(SNAP).map("y", (col("x") - 1) + 2).project("k"))
+    assert failed == {"ok": False, "error": f"{-(2**63)} sub 1 overflows a 64-bit integer (row 2)", "step": 1}
+    failed = engine.run(Plan.scan(SNAP).sort("-k").filter(all_of(col("k") < 0, (col("x") - 1) < 0)).aggregate([], Agg("n", "count")))
+    assert failed == {"ok": False, "error": f"{-(2**63)} sub 1 overflows a 64-bit integer (row 1)", "step": 2}
 
 
 def test_engine_end_to_end(spark):
