@@ -34,18 +34,24 @@ _DROPPED = frozenset(
     "head title script style noscript template iframe object svg canvas nav menu header footer aside form button "
     "select option textarea input label dialog".split()
 )
-_CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role of an element that is not part of an article.
+#: Words in class, id or role of an element that is not part of an article; inside one, a header may hold its title.
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 _BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|"
+    r"(?:^|[\s_-])(?:ad|ads\w*|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|"
     r"comment\w*|disqus\w*|respond|replies|sidebar\w*|side|complementary|widget\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer|"
-    r"header|masthead|contentinfo|search|share\w*|sharing|social\w*|related\w*|newsletter\w*|subscribe|signup|popup\w*|modal\w*|"
+    r"contentinfo|search|share\w*|sharing|social\w*|related\w*|newsletter\w*|subscribe|signup|popup\w*|modal\w*|"
     r"pagination|toolbar)(?=$|[\s_-])",
     re.I,
 )
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+def _unwanted(named: str, inside: bool) -> bool:
+    words = _HUMP.sub("-", named)
+    return bool(_BOILERPLATE.search(words) or not inside and _HEADER.search(words))
+
+
 class _Lines(HTMLParser):
     """Cuts a page into lines: ``[text, tags, dropped, number of the enclosing content element or -1]``."""
 
@@ -56,6 +62,7 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.contents = 0
+        self.articles: set[int] = set()
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
@@ -77,11 +84,12 @@ class _Lines(HTMLParser):
             return
         _, dropped, content = self.open[-1] if self.open else ("", False, -1)
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
-        if tag in _CONTENT or "main" in named.split():
-            if not dropped and content < 0:
-                content, self.contents = self.contents, self.contents + 1
+        if not dropped and (tag == "article" and content not in self.articles or content < 0 and (tag == "main" or "main" in named.split())):
+            content, self.contents = self.contents, self.contents + 1
+            if tag == "article":
+                self.articles.add(content)
         elif not dropped:
-            dropped = tag in _DROPPED or (tag not in ("html", "body") and bool(named and _BOILERPLATE.search(named)))
+            dropped = tag in _DROPPED or (tag not in ("html", "body") and bool(named) and _unwanted(named, content >= 0))
             if dropped and tag not in _BLOCK:
                 self.flush()
         self.open.append((tag, dropped, content))
@@ -173,6 +181,7 @@ def main_text(html: str | None) -> str:
     marked = [i for i, (_, _, dropped, _) in enumerate(lines) if not dropped and smoothed[i] >= least]
     if parser.contents:
         whole = {lines[i][3] for i in marked} - {-1}
+        whole = whole & parser.articles or whole  # an article is closer than the main element around it
         if not whole:  # only short lines: the element that holds most text
             held: dict[int, int] = {}
             for text, _, dropped, content in lines:

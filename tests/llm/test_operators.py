@@ -203,6 +203,8 @@ def test_page_text():
         assert isinstance(html_text.main_text(broken), str)
     assert html_text.main_text("plain &amp; text") == "plain & text"
     assert html_text.main_text("<main><p>x</p></main>") == "x"
+    nested = "<main><h2>News</h2><div class='siteHeader'>Top</div><article class='post comment-open'></article><article><div class='entry-header'><h1>T</h1></div><p>Body text.</p><article class='comment'>no</article></article><ins class='adsbygoogle'>Buy</ins></main>"
+    assert html_text.main_text(nested) == "T\nBody text."
 
 
 def test_extract_keeps_every_page(spark):
