@@ -61,6 +61,7 @@ def exclude(base: Execution, rows: Iterable[int] | DataFrame, exact_order: bool
     source, whole = base.steps[step.input], base.steps[number]
     removed = source.df.where(F.col(RID).isin(listed)) if inline else source.df.join(gone, RID, "left_semi")
     keys = whole.identity
+    held: list[DataFrame] = []
     if not keys:
         if removed.isEmpty():
             return Counterfactual(replace(base, excluded=gone), {"kind": "unchanged"})
@@ -69,7 +70,9 @@ def exclude(base: Execution, rows: Iterable[int] | DataFrame, exact_order: bool
     else:
         hit = removed.select(*keys).distinct().persist()
         groups = hit.count()
+        held.append(hit)
         if not groups:
+            hit.unpersist()
             return Counterfactual(replace(base, excluded=gone), {"kind": "unchanged"})
         left = narrowed(source.df, hit, keys).join(gone, RID, "left_anti")
         again = _recomputed(step, number, source, left, base, exact_order).df
@@ -77,7 +80,7 @@ def exclude(base: Execution, rows: Iterable[int] | DataFrame, exact_order: bool
         after = kept.unionByName(again)
     first = replace(whole, df=after)
     steps = run_from(base.plan, number, first, base.steps[:number], exact_order)
-    execution = Execution(base.plan, base.table, steps, gone)
+    execution = Execution(base.plan, base.table, steps, gone, held)
     return Counterfactual(execution, {"kind": "incremental", "groups_recomputed": groups})
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineaframe.engine import Engine
+from lineaframe.operators import counterfactual
 from lineaframe.operators.counterfactual import contributions, exclude
 from lineaframe.operators.execution import execute
 from lineaframe.operators.lineage import Lineage
@@ -319,6 +320,19 @@ def test_engine_end_to_end(spark):
     assert engine.validate_plan(plan)["steps"][4]["op"] == "limit"
 
 
+def test_order_statistics_inside_a_bracket(spark, monkeypatch):
+    rng = random.Random(3)
+    values = [rng.choice([rng.gauss(0, 100), 7.0, -7.0]) for _ in range(800)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(4)
+    want = sorted(values)
+    ranks = [0, 1, 399, 400, 798, 799, 800, -1]
+    expected = [want[r] if 0 <= r < 800 else None for r in ranks]
+    assert counterfactual.order_values(rows, "v", ranks, 800) == expected
+    monkeypatch.setattr(counterfactual, "SKETCH", 20)
+    for some in ([0, 1], [399, 400], [798, 799], [600]):
+        assert counterfactual.order_values(rows, "v", some, 800) == [want[r] for r in some]
+
+
 def test_rows_are_numbered_densely(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("A.b"))
     table = from_dataframe(df, "numbers", order=["v"])
