@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -20,6 +19,7 @@ def _parser() -> argparse.ArgumentParser:
     get.add_argument("--out", required=True)
     get.add_argument("--from", dest="start", default="2024-01-01")
     get.add_argument("--to", dest="end", default="2026-01-01")
+    get.add_argument("--app-token", help="application token, sent with every request")
     make = commands.add_parser("synth", help="write synthetic records as a raw directory")
     make.add_argument("--out", required=True)
     make.add_argument("--rows", type=int, default=100_000)
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None, transport: fetch.Transport | None = None
     args = _parser().parse_args(argv)
     if args.command == "fetch":
         spec = DATASETS[args.source]
-        get = transport or fetch.http_get(os.environ.get("SOCRATA_APP_TOKEN"))
+        get = transport or fetch.http_get(args.app_token)
         run = fetch.fetch_socrata if args.source == "nyc311" else fetch.fetch_seeclickfix
         record = run(spec, Scope.dates("created_date", args.start, args.end), get, args.out)
         print(f"{record.raw_records} records in {len(record.pages)} pages")
