@@ -254,21 +254,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds until nothing changes; every round is a
     written table, so a lost executor costs one round. Joins and sums only:
-    nothing is gathered by node, so a node of very many edges is no trouble.
+    nothing is gathered by node, and the joins are of written tables, whose
+    shuffles Spark can split, so a node of very many edges is no trouble.
     """
     now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "cc")
     mark = _mark(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-least")
         large = keep(
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "cc"
         )
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         after = keep(small.where("u != v").distinct(), "cc")
-        forget(large)
-        forget(now)
+        for table in (large, now, least, lower):
+            forget(table)
         now, before = after, mark
         mark = _mark(now)
         if mark == before:
