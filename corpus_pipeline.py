@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lineaframe.llm import decontam, mixing, pii, quality, simhash
 from lineaframe.llm.queries import table
-from lineaframe.storage import keep
+from lineaframe.storage import forget, keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            forget(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
