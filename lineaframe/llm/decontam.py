@@ -2,8 +2,9 @@
 
 The alphabet is words. Windows of one length form one set of patterns with two
 tables: the shift of the block of the last two words read (how far the search
-may jump, as no window can end sooner), and for blocks that end a window, the
-windows by their first two words. Only those are compared word by word. In
+may jump, as no window can end sooner), and for blocks that end a window,
+buckets of windows by their last and first two words. Only those are compared
+word by word. In
 text that shares no word pair with a benchmark the search reads one pair in
 nine.
 """
@@ -22,10 +23,9 @@ from lineaframe.storage import keep, ship
 
 #: Words of a window; shorter items are one window.
 WINDOW = 10
-#: Characters of benchmark text whose tables are broadcast at once; more goes round by round.
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark text whose tables (some 100 bytes a character to build) are broadcast at once; more goes round by round.
+BLOCK_CHARS = 2_000_000
 
-_UPPER = bytes(range(0x41, 0x5B))
 #: Folds A-Z to a-z and every other ASCII character that is not a letter or digit to a space.
 FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -38,23 +38,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """All patterns of one length, of words."""
+    """All patterns of one length, of words. A pattern is a place in an item's words, so no window is copied."""
 
     def __init__(self, length: int) -> None:
         self.length, self.block = length, min(2, length)
         self.shift: dict = {}
-        self.buckets: dict = defaultdict(lambda: defaultdict(list))
+        self.buckets: dict[tuple[bytes, ...], list[tuple[list[bytes], int, frozenset]]] = {}
 
-    def add(self, pattern: tuple[bytes, ...], ids: Iterable[str]) -> None:
+    def add(self, words: list[bytes], start: int, ids: frozenset) -> None:
         m, b = self.length, self.block
         for end in range(b, m + 1):
-            key = pattern[end - 1] if b == 1 else (pattern[end - 2], pattern[end - 1])
+            key = words[start + end - 1] if b == 1 else (words[start + end - 2], words[start + end - 1])
             self.shift[key] = min(self.shift.get(key, m), m - end)
-        self.buckets[key][pattern[:b]].append((pattern, frozenset(ids)))
-
-    def freeze(self) -> WuManber:
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
-        return self
+        ends = (*words[start : start + b], *words[start + m - b : start + m])
+        self.buckets.setdefault(ends, []).append((words, start, ids))
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, frozenset]]:
         """Starts of all occurrences, in order, with the ids of the items they belong to."""
@@ -68,26 +65,28 @@ class WuManber:
                 i += jump
                 continue
             at = i - m + 1
-            for pattern, ids in self.buckets[key].get(tuple(words[at : at + b]), ()):
-                if all(p == w for p, w in zip(pattern, words[at : i + 1], strict=True)):
+            for item, start, ids in self.buckets.get((*words[at : at + b], *words[i - b + 1 : i + 1]), ()):
+                if all(words[at + j] == item[start + j] for j in range(m)):
                     yield at, ids
             i += 1
 
 
 def build(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
     """Tables for the windows of ``(item id, text)``; items without words have none."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+    places: dict[int, dict[bytes, tuple[list[bytes], int, set[str]]]] = defaultdict(dict)
     for item, text in items:
         words = words_of(text)
         length = min(window, len(words))
         for i in range(len(words) - length + 1 if words else 0):
-            by_length[length][tuple(words[i : i + length])].add(item)
-    tables = []
-    for length, patterns in by_length.items():
+            key = hashlib.blake2b(b" ".join(words[i : i + length]), digest_size=16).digest()
+            places[length].setdefault(key, (words, i, set()))[2].add(item)
+    tables, alike = [], {}
+    for length, patterns in places.items():
         table = WuManber(length)
-        for pattern, ids in patterns.items():
-            table.add(pattern, ids)
-        tables.append(table.freeze())
+        for words, start, ids in patterns.values():
+            same = frozenset(ids)
+            table.add(words, start, alike.setdefault(same, same))
+        tables.append(table)
     return tables
 
 
