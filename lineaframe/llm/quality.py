@@ -29,7 +29,7 @@ FILTERS = 16
 #: Most labelled rows of each class that training reads, chosen by a hash of the id, and characters of the longest
 #: text it takes as an example: together they bound what the driver holds. Scoring has no bounds.
 TRAIN_ROWS = 1000
-TRAIN_CHARS = 100_000
+TRAIN_CHARS = 20_000
 EPOCHS = 60
 RATE = 0.04
 #: Cells worked on at a time, so that a text of any length needs bounded memory.
@@ -98,6 +98,13 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _counts(text: str | None) -> np.ndarray:
+    """All cells of a text as whole numbers (a quarter of the memory), two at least."""
+    parts = [np.rint(s * CELL).astype(np.uint8) for s in slabs(text)]
+    cells = np.concatenate([p if i == 0 else p[1:] for i, p in enumerate(parts)])
+    return cells if len(cells) > 1 else np.concatenate([cells, np.zeros((1, CHANNELS), np.uint8)])
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Network:
     """Fit the network to 0/1 labels by full-batch Adam, both classes weighing alike.
 
@@ -116,8 +123,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
         net.out[:] = 0
         net.bias = 0.0 if not len(y) else 30.0 if y[0] else -30.0
         return net
-    per_doc = [np.concatenate([s if i == 0 else s[1:] for i, s in enumerate(slabs(t))]) for t in texts]
-    per_doc = [np.concatenate([d, np.zeros((1, CHANNELS), np.float32)]) if len(d) == 1 else d for d in per_doc]
+    per_doc = [_counts(t) for t in texts]
     cells = np.concatenate(per_doc)
     starts = np.cumsum([0, *(len(d) for d in per_doc)])
     inner = np.ones(len(cells) - 1, bool)
@@ -131,8 +137,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
     owner = np.repeat(docs, np.diff(np.append(firsts, len(chunks))))
     for step in range(1, epochs + 1):
         left, right, shift, out, bias = params
-        a, b = cells @ left, cells @ right
-        z = a[chunks] + b[chunks + 1] + shift
+        both = np.hstack([left, right]) / CELL
+        halves = np.concatenate([cells[i : i + SLAB].astype(np.float32) @ both for i in range(0, len(cells), SLAB)])
+        z = halves[chunks, :FILTERS] + halves[chunks + 1, FILTERS:] + shift
         best = np.maximum.reduceat(z, firsts, axis=0)
         pooled = np.maximum(best, 0)
         p = 1 / (1 + np.exp(-np.clip(pooled @ out + bias[0], -30, 30)))
@@ -145,8 +152,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
             at[own, f] = chunks[hit[once]]
         g_left, g_right = np.empty_like(left), np.empty_like(right)
         for f in range(FILTERS):
-            g_left[:, f] = cells[at[:, f]].T @ up[:, f]
-            g_right[:, f] = cells[at[:, f] + 1].T @ up[:, f]
+            g_left[:, f] = cells[at[:, f]].T.astype(np.float32) @ up[:, f] / CELL
+            g_right[:, f] = cells[at[:, f] + 1].T.astype(np.float32) @ up[:, f] / CELL
         grads = [g_left + 1e-5 * left, g_right + 1e-5 * right, up.sum(axis=0), pooled.T @ delta + 1e-4 * out, np.array([delta.sum()])]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
