@@ -19,6 +19,7 @@ sorted, so thousands of copies cost one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,10 @@ LEFT = WINDOW
 RIGHT = LEAST + WINDOW
 #: Sorted neighbours on each side that a suffix is compared with.
 NEAR = 3
+#: Classes of one gram that a task sorts together; those of more frequent grams are sorted in ranges of so many rows.
+FREQUENT = 1024
+RANGE_ROWS = 50_000
+_ORDER = ("gram", "after", "before", "document")
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -198,7 +203,7 @@ def _compare_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.concat(ends, ignore_index=True).assign(to_left=0, to_right=0, border=True)
 
 
-def _compare_borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare_inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for out in _compare_partition(batches):
         yield out[~out["border"].astype(bool)]
 
@@ -230,13 +235,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words; null ids are ids like any other; an empty table gives no rows.
 
     Words of suffixes travel only for one member of each class whose first words
-    several documents share. The sort is by ranges, so that a passage in a third
-    of all documents is spread over many tasks; suffixes next to the border of a
+    several documents share. Suffixes are sorted by gram; those of grams with
+    very many classes are sorted in ranges, so that a passage in a third of all
+    documents is spread over many tasks, and suffixes next to the border of a
     range are compared once more with those beyond it.
     """
     spark = docs.sparkSession
     ship(spark)
-    n_out = int(spark.conf.get("spark.sql.shuffle.partitions"))
     document = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
     sketched = keep(
         docs.select(F.col(id_col).alias("doc_id"), document.alias("document"), _sketches(F.col(text_col)).alias("s")).select(
@@ -248,11 +253,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "document", "n_words", F.explode(F.arrays_zip("grams", "contexts", "places")).alias("x")
     ).select("document", "n_words", F.col("x.grams").alias("gram"), F.col("x.contexts").alias("context"), F.col("x.places").alias("place"))
     least, most = F.min("document").alias("least"), F.max("document").alias("most")
-    shared = suffixes.groupBy("gram").agg(least, most).where("least != most").select("gram")
-    classes = keep(
-        suffixes.join(shared, "gram", "left_semi").groupBy("gram", "context").agg(least, most, F.min_by("place", "document").alias("place")),
-        "suffix-classes",
-    )
+    shared = keep(suffixes.groupBy("gram").agg(least, most).where("least != most").select("gram"), "suffix-shared")
+    # both sides of this join are plain shuffles, which Spark can split where a gram has very many contexts
+    grouped = suffixes.groupBy("gram", "context").agg(least, most, F.min_by("place", "document").alias("place"))
+    classes = keep(grouped.join(shared, "gram", "left_semi"), "suffix-classes")
     wanted = classes.groupBy("least").agg(F.collect_list(F.struct("gram", "context", "place")).alias("mine"))
     spelled = (
         docs.select(document.alias("document"), F.col(text_col).alias("text"))
@@ -261,19 +265,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("document", F.explode(F.arrays_zip("mine", "words")).alias("x"))
         .select("document", "x.mine.gram", "x.mine.context", "x.words.after", "x.words.before")
     )
-    order = ["gram", "after", "before", "document"]
     spelled = keep(spelled, "suffix-words")
-    compared = keep(
-        spelled.repartitionByRange(n_out, *order).sortWithinPartitions(*order).mapInPandas(_compare_partition, _COMPARED), "suffix-compared"
-    )
-    borders = compared.where("border").repartition("gram").sortWithinPartitions(*order).mapInPandas(_compare_borders, _COMPARED)
-    several = classes.where("least != most").select("gram", "context", F.lit(LEFT).alias("to_left"), F.lit(RIGHT).alias("to_right"))
-    matched = (
-        compared.where("not border").select("gram", "context", "to_left", "to_right")
-        .union(borders.select("gram", "context", "to_left", "to_right"))
-        .union(several)
+    frequent = keep(classes.groupBy("gram").count().where(F.col("count") > FREQUENT), "suffix-frequent")
+    n_frequent = frequent.agg(F.sum("count")).first()[0]
+    parts = [classes.where("least != most").select("gram", "context", F.lit(LEFT).alias("to_left"), F.lit(RIGHT).alias("to_right"))]
+    usual = spelled
+    if n_frequent:
+        usual = spelled.join(frequent, "gram", "left_anti")
+        parts += _compared_in_ranges(spelled.join(frequent, "gram", "left_semi"), -(-n_frequent // RANGE_ROWS))
+    parts.append(usual.repartition("gram").sortWithinPartitions(*_ORDER).mapInPandas(_compare_inside, _COMPARED))
+    matched = keep(
+        reduce(DataFrame.union, [p.select("gram", "context", "to_left", "to_right") for p in parts])
         .groupBy("gram", "context")
-        .agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
+        .agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right")),
+        "suffix-matched",
     )
     start = F.col("place") - F.least("to_left", "place")
     end = F.least(F.col("place") + F.col("to_right"), F.col("n_words")).cast("int")
@@ -291,5 +296,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _compared_in_ranges(spelled: DataFrame, ranges: int) -> list[DataFrame]:
+    """Suffixes of very frequent grams, compared in ranges of their order, and once more across the borders of ranges."""
+    sorted_rows = spelled.repartitionByRange(ranges, *_ORDER).sortWithinPartitions(*_ORDER)
+    compared = keep(sorted_rows.mapInPandas(_compare_partition, _COMPARED), "suffix-compared")
+    borders = compared.where("border").repartition("gram").sortWithinPartitions(*_ORDER).mapInPandas(_compare_inside, _COMPARED)
+    return [compared.where("not border"), borders]
+
+
 def _span_list() -> Column:
     return F.collect_set(F.struct("start", "end")).alias("spans")

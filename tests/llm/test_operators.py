@@ -320,7 +320,9 @@ def test_exact_groups(spark, odd_rows):
 # ---- 8: repeated passages
 
 
-def test_repeated_passages(spark, odd_rows, monkeypatch):
+@pytest.mark.parametrize("frequent", [suffix_dedup.FREQUENT, 1])
+def test_repeated_passages(spark, odd_rows, monkeypatch, frequent):
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     rng = random.Random(10)
     many = vocabulary(4000, 11)
     text = lambda n: prose(rng, n, many)
