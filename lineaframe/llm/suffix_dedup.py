@@ -9,6 +9,12 @@ are sorted by their words, neighbours are compared, and a match is extended to
 the right along both suffixes and to the left along what precedes them. Matches
 of ``LEAST`` words or more are merged into passages.
 
+Neighbours alone would miss partners that share the words to the left while very
+many others sort between, so links are decided by windows: every run of
+``LEAST`` words around a retained suffix is hashed, and a window that stands in
+two documents, by the least and greatest document of its 64-bit hash, is part of
+a passage, however many suffixes share its first words.
+
 A suffix is compared over ``RIGHT`` words and to the left over ``LEFT``: enough
 for the next retained suffix to go on from there, so passages of any length
 come out whole. Suffixes that agree on all these words form a class; a class of
@@ -72,19 +78,23 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    n = len(hashes) - GRAM + 1
+    grams = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        grams = grams * np.uint64(_BASE) + hashes[j : n + j]
+    return _mix(grams)
+
+
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the minimisers of a document's word hashes, and the hashes of their grams.
 
     Where neighbouring grams are equal (a word that repeats on and on), one in
     ``WINDOW / 2`` is taken. A text of fewer than ``LEAST`` words has none.
     """
-    n = len(hashes)
-    if n < LEAST:
+    if len(hashes) < LEAST:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = np.zeros(n - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        grams = grams * np.uint64(_BASE) + hashes[j : n - GRAM + 1 + j]
-    grams = _mix(grams)
+    grams = _grams(hashes)
     width = min(WINDOW, len(grams))
     least = _sliding(grams, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)  # hashes are at least 0, so this never wins
@@ -113,6 +123,29 @@ def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     return n, own, context, at
 
 
+def windows(hashes: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each place of :func:`anchors`, hashes and starts (from the place on) of the windows of ``LEAST`` words that it stands for.
+
+    Those are the windows whose first ``WINDOW`` grams have the place's gram as
+    the smallest. They start up to ``WINDOW - 1`` words before the place, or,
+    where equal grams were thinned out, less than ``WINDOW / 2`` after it; so
+    the words that a class shares settle them, and no window is left out.
+    """
+    n = len(hashes)
+    if n < LEAST:
+        return []
+    grams = _grams(hashes)
+    least = _sliding(grams, WINDOW, np.minimum)[: n - LEAST + 1]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, n), dtype=np.uint64)])
+    whole = _mix((sums[LEAST:] - sums[:-LEAST]) * _powers(_INVERSE, n - LEAST + 1)).view(np.int64)
+    out = []
+    for p in places:
+        lo = max(0, p - WINDOW + 1)
+        at = lo + np.flatnonzero(least[lo : p + WINDOW // 2] == grams[p])
+        out.append((whole[at], (at - p).astype(np.int32)))
+    return out
+
+
 def _sketches(text: Column) -> Column:
     @F.pandas_udf("n_words bigint, grams array<bigint>, contexts array<bigint>, places array<int>")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -131,17 +164,25 @@ def _sketches(text: Column) -> Column:
 
 
 def _surroundings(text: Column, places: Column) -> Column:
-    """For each place, the words from it on, and the words before it, nearest first."""
+    """For each place, the words from it on, the words before it, nearest first, and its windows."""
 
-    @F.pandas_udf("array<struct<after:string,before:string>>")
-    def surroundings(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("after array<string>, before array<string>, windows array<array<bigint>>, starts array<array<int>>")
+    def surroundings(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        rows = []
         for text, at in zip(texts, lists, strict=True):
-            words = [w.decode("utf-8", "replace") for w in words_of(text)]
-            out.append(
-                [{"after": " ".join(words[p : p + RIGHT]), "before": " ".join(reversed(words[max(0, p - LEFT) : p]))} for p in at]
+            spelt = words_of(text)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, len(spelt))
+            words = [w.decode("utf-8", "replace") for w in spelt]
+            found = windows(hashes, at)
+            rows.append(
+                (
+                    [" ".join(words[p : p + RIGHT]) for p in at],
+                    [" ".join(reversed(words[max(0, p - LEFT) : p])) for p in at],
+                    [f[0] for f in found],
+                    [f[1] for f in found],
+                )
             )
-        return pd.Series(out)
+        return pd.DataFrame(rows, columns=["after", "before", "windows", "starts"])
 
     return surroundings(text, places)
 
@@ -234,8 +275,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are one document and get the same answer; null and empty texts have no
     words; null ids are ids like any other; an empty table gives no rows.
 
-    Words of suffixes travel only for one member of each class whose first words
-    several documents share. Suffixes are sorted by gram; those of grams with
+    Words and windows of suffixes travel only for one member of each class whose
+    first words several documents share. Suffixes are sorted by gram; those of grams with
     very many classes are sorted in ranges, so that a passage in a third of all
     documents is spread over many tasks, and suffixes next to the border of a
     range are compared once more with those beyond it.
@@ -257,26 +298,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # both sides of this join are plain shuffles, which Spark can split where a gram has very many contexts
     grouped = suffixes.groupBy("gram", "context").agg(least, most, F.min_by("place", "document").alias("place"))
     classes = keep(grouped.join(shared, "gram", "left_semi"), "suffix-classes")
-    wanted = classes.groupBy("least").agg(F.collect_list(F.struct("gram", "context", "place")).alias("mine"))
+    wanted = classes.groupBy("least").agg(F.collect_list(F.struct("gram", "context", "place", "most")).alias("mine"))
     spelled = (
         docs.select(document.alias("document"), F.col(text_col).alias("text"))
         .join(wanted, F.col("document") == F.col("least"))
         .select("document", "mine", _surroundings(F.col("text"), F.col("mine.place")).alias("words"))
-        .select("document", F.explode(F.arrays_zip("mine", "words")).alias("x"))
-        .select("document", "x.mine.gram", "x.mine.context", "x.words.after", "x.words.before")
+        .select("document", "mine", "words.*")
+        .select("document", F.explode(F.arrays_zip("mine", "after", "before", "windows", "starts")).alias("x"))
+        .select("document", "x.mine.most", "x.mine.gram", "x.mine.context", "x.after", "x.before", "x.windows", "x.starts")
     )
     spelled = keep(spelled, "suffix-words")
     frequent = keep(classes.groupBy("gram").count().where(F.col("count") > FREQUENT), "suffix-frequent")
     n_frequent = frequent.agg(F.sum("count")).first()[0]
     parts = [classes.where("least != most").select("gram", "context", F.lit(LEFT).alias("to_left"), F.lit(RIGHT).alias("to_right"))]
-    usual = spelled
+    parts.append(_linked_windows(spelled))
+    usual = spelled = spelled.drop("most", "windows", "starts")
     if n_frequent:
         usual = spelled.join(frequent, "gram", "left_anti")
         parts += _compared_in_ranges(spelled.join(frequent, "gram", "left_semi"), -(-n_frequent // RANGE_ROWS))
     parts.append(usual.repartition("gram").sortWithinPartitions(*_ORDER).mapInPandas(_compare_inside, _COMPARED))
     matched = keep(
         reduce(DataFrame.union, [p.select("gram", "context", "to_left", "to_right") for p in parts])
-        .groupBy("gram", "context")
+        # windows that start after the place need not touch those that hold it
+        .groupBy("gram", "context", (F.col("to_left") < 0).alias("beyond"))
         .agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right")),
         "suffix-matched",
     )
@@ -296,6 +340,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _linked_windows(spelled: DataFrame) -> DataFrame:
+    """Spans of the windows that another document holds too, for classes of one document; those of several are whole anyway."""
+    rows = spelled.select(
+        "gram", "context", F.col("document").alias("least"), "most", F.explode(F.arrays_zip("windows", "starts")).alias("w")
+    ).select("gram", "context", "least", "most", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
+    held = rows.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    shared = keep(held.where("least != most").select("window"), "suffix-windows")
+    linked = rows.where("least = most").select("gram", "context", "window", "start").join(shared, "window", "left_semi")
+    return linked.select("gram", "context", (-F.col("start")).alias("to_left"), (F.col("start") + LEAST).alias("to_right"))
+
+
 def _compared_in_ranges(spelled: DataFrame, ranges: int) -> list[DataFrame]:
     """Suffixes of very frequent grams, compared in ranges of their order, and once more across the borders of ranges."""
     sorted_rows = spelled.repartitionByRange(ranges, *_ORDER).sortWithinPartitions(*_ORDER)

@@ -351,6 +351,50 @@ def test_repeated_passages(spark, odd_rows, monkeypatch, frequent):
     assert suffix_dedup.repeats(frame(spark, [])).count() == 0
 
 
+def plain_passages(rows):
+    tokens = [(i, t, suffix_dedup.words_of(t)) for i, t in rows]
+    owners: dict = {}
+    for i, t, w in tokens:
+        for p in range(len(w) - 49):
+            owners.setdefault(tuple(w[p : p + 50]), set()).add((i, t))
+    out = []
+    for i, t, w in tokens:
+        hit = sorted({q for p in range(len(w) - 49) if len(owners[tuple(w[p : p + 50])]) > 1 for q in range(p, p + 50)})
+        spans: list = []
+        for q in hit:
+            if spans and spans[-1][1] == q:
+                spans[-1][1] = q + 1
+            else:
+                spans.append([q, q + 1])
+        out.append((i, len(w), spans))
+    return sorted(out, key=str)
+
+
+def found_passages(spark, rows):
+    got = suffix_dedup.repeats(frame(spark, rows)).collect()
+    return sorted(((r["doc_id"], r["n_words"], [[p["start"], p["end"]] for p in r["passages"]]) for r in got), key=str)
+
+
+@pytest.mark.parametrize("frequent", [suffix_dedup.FREQUENT, 1])
+def test_passages_around_a_common_line(spark, monkeypatch, frequent):
+    """Two documents share their own words and a line that stands in many others; also words that repeat on and on."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    rng = random.Random(31)
+    many = vocabulary(4000, 32)
+    text = lambda n: prose(rng, n, many)
+    texts = []
+    for k in range(16):
+        line, own = text(35), text(rng.randrange(15, 21))
+        texts += [" ".join([text(60), line, text(100)]) for _ in range(20)]
+        pair = [line, own] if k % 4 == 3 else [own, line]
+        texts += [" ".join([text(60), *pair, text(100)]) for _ in range(2)]
+    texts += [" ".join([text(30), "on " * n, text(40)]) for n in (57, 58, 75, 90, 120)]
+    period = text(3)
+    texts += [" ".join([text(45), *[period] * n, text(45)]) for n in (17, 18, 25, 40)]
+    rows = list(enumerate(texts))
+    assert found_passages(spark, rows) == plain_passages(rows)
+
+
 # ---- 9: mixing
 
 
