@@ -41,12 +41,12 @@ GRAM = 8
 WINDOW = 40
 LEFT = WINDOW
 RIGHT = LEAST + WINDOW
-#: Sorted neighbours on each side that a suffix is compared with.
+#: Sorted neighbours on each side that a suffix is compared with, besides the nearest of another document.
 NEAR = 3
 #: Classes of one gram that a task sorts together; those of more frequent grams are sorted in ranges of so many rows.
 FREQUENT = 1024
 RANGE_ROWS = 50_000
-_ORDER = ("gram", "after", "before", "document")
+_ORDER = ("gram", "after", "before", "least")
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -197,35 +197,64 @@ def _common(a: list[str], b: list[str]) -> int:
 
 
 def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-    """For sorted ``(gram, document, after, before)``: words matched to the left and right, (0, 0) below ``LEAST``."""
-    split = [(g, d, a.split(" "), b.split(" ") if b else []) for g, d, a, b in rows]
+    """For sorted ``(gram, least, most, after, before)``: words matched to the left and right, (0, 0) below ``LEAST``.
+
+    Rows are classes with their least and greatest document. A row is compared
+    with its neighbours and, past rows of the same document, with the nearest
+    row on each side that another document has a part in.
+    """
+    split = [(a.split(" "), b.split(" ") if b else []) for *_, a, b in rows]
+    owner = [low if low == high else None for _, low, high, *_ in rows]
     best = [(0, 0)] * len(rows)
-    for i, (gram, document, after, before) in enumerate(split):
-        for j in range(i + 1, min(len(split), i + 1 + NEAR)):
-            other = split[j]
-            if other[0] != gram:
+
+    def apart(i: int, j: int) -> bool:
+        return owner[i] is None or owner[i] != owner[j]
+
+    def match(i: int, j: int) -> None:
+        right, left = _common(split[i][0], split[j][0]), _common(split[i][1], split[j][1])
+        if right + left >= LEAST:
+            best[i] = (max(best[i][0], left), max(best[i][1], right))
+            best[j] = (max(best[j][0], left), max(best[j][1], right))
+
+    for i in range(len(rows)):
+        for j in range(i + 1, min(len(rows), i + 1 + NEAR)):
+            if rows[j][0] != rows[i][0]:
                 break
-            if other[1] == document:
-                continue
-            right, left = _common(after, other[2]), _common(before, other[3])
-            if right + left >= LEAST:
-                best[i] = (max(best[i][0], left), max(best[i][1], right))
-                best[j] = (max(best[j][0], left), max(best[j][1], right))
+            if apart(i, j):
+                match(i, j)
+    for turn in (range(len(rows)), reversed(range(len(rows)))):
+        last = other = None  # the row before, and the last one of another document than that
+        for i in turn:
+            if last is None or rows[i][0] != rows[last][0]:
+                other = None
+            elif apart(i, last):
+                other = last
+            elif other is not None:
+                match(i, other)
+            last = i
     return best
 
 
-_COMPARED = "gram bigint, context bigint, document bigint, after string, before string, to_left int, to_right int, border boolean"
+_COMPARED = "gram bigint, context bigint, least bigint, most bigint, after string, before string, to_left int, to_right int, border boolean"
+
+
+def _end(frame: pd.DataFrame) -> pd.DataFrame:
+    """The last ``NEAR`` rows, and before them the last one of another document than the last."""
+    apart = (frame["least"] != frame["most"]) | (frame["least"] != frame["least"].iloc[-1]) | (frame["most"] != frame["most"].iloc[-1])
+    at = np.flatnonzero(apart.to_numpy())
+    near = max(0, len(frame) - NEAR)
+    return frame.iloc[[*at[at < near][-1:], *range(near, len(frame))]]
 
 
 def _compare_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Compares the sorted rows of a partition, batch by batch; the rows at its two ends come out once more as border rows."""
-    columns = ["gram", "context", "document", "after", "before"]
+    columns = ["gram", "context", "least", "most", "after", "before"]
     rest = pd.DataFrame(columns=columns)
     ends: list[pd.DataFrame] = []
 
     def compared(frame: pd.DataFrame) -> pd.DataFrame:
-        found = compare(list(zip(frame["gram"], frame["document"], frame["after"], frame["before"], strict=True)))
-        out = frame[["gram", "context"]].assign(document=0, after=None, before=None, to_left=[x[0] for x in found], to_right=[x[1] for x in found], border=False)
+        found = compare(list(zip(*(frame[c] for c in columns if c != "context"), strict=True)))
+        out = frame[["gram", "context"]].assign(least=0, most=0, after=None, before=None, to_left=[x[0] for x in found], to_right=[x[1] for x in found], border=False)
         return out[out["to_right"] > 0]
 
     last = None
@@ -234,10 +263,10 @@ def _compare_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             continue
         batch = batch[columns]
         if last is None:
-            ends.append(batch.head(NEAR))
+            ends.append(_end(batch[::-1])[::-1])
         frame = pd.concat([rest, batch], ignore_index=True) if len(rest) else batch.reset_index(drop=True)
         yield compared(frame)
-        rest = frame.tail(NEAR)
+        rest = _end(frame)
         last = rest
     if last is not None:
         ends.append(last)
@@ -305,14 +334,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("document", "mine", _surroundings(F.col("text"), F.col("mine.place")).alias("words"))
         .select("document", "mine", "words.*")
         .select("document", F.explode(F.arrays_zip("mine", "after", "before", "windows", "starts")).alias("x"))
-        .select("document", "x.mine.most", "x.mine.gram", "x.mine.context", "x.after", "x.before", "x.windows", "x.starts")
+        .select(F.col("document").alias("least"), "x.mine.most", "x.mine.gram", "x.mine.context", "x.after", "x.before", "x.windows", "x.starts")
     )
     spelled = keep(spelled, "suffix-words")
     frequent = keep(classes.groupBy("gram").count().where(F.col("count") > FREQUENT), "suffix-frequent")
     n_frequent = frequent.agg(F.sum("count")).first()[0]
     parts = [classes.where("least != most").select("gram", "context", F.lit(LEFT).alias("to_left"), F.lit(RIGHT).alias("to_right"))]
     parts.append(_linked_windows(spelled))
-    usual = spelled = spelled.drop("most", "windows", "starts")
+    usual = spelled = spelled.drop("windows", "starts")
     if n_frequent:
         usual = spelled.join(frequent, "gram", "left_anti")
         parts += _compared_in_ranges(spelled.join(frequent, "gram", "left_semi"), -(-n_frequent // RANGE_ROWS))
@@ -342,9 +371,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _linked_windows(spelled: DataFrame) -> DataFrame:
     """Spans of the windows that another document holds too, for classes of one document; those of several are whole anyway."""
-    rows = spelled.select(
-        "gram", "context", F.col("document").alias("least"), "most", F.explode(F.arrays_zip("windows", "starts")).alias("w")
-    ).select("gram", "context", "least", "most", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
+    rows = spelled.select("gram", "context", "least", "most", F.explode(F.arrays_zip("windows", "starts")).alias("w"))
+    rows = rows.select("gram", "context", "least", "most", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
     held = rows.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     shared = keep(held.where("least != most").select("window"), "suffix-windows")
     linked = rows.where("least = most").select("gram", "context", "window", "start").join(shared, "window", "left_semi")

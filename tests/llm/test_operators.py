@@ -395,6 +395,30 @@ def test_passages_around_a_common_line(spark, monkeypatch, frequent):
     assert found_passages(spark, rows) == plain_passages(rows)
 
 
+def test_neighbours_past_rows_of_the_same_document():
+    common, none = [f"w{i}" for i in range(60)], ""
+    row = lambda low, high, k: (1, low, high, " ".join([*common, f"x{k}", "y"]), none)
+    rows = [row(4, 4, k) for k in range(10, 20)] + [row(5, 5, 20)]
+    assert suffix_dedup.compare(rows) == [(0, 60)] * 11
+    assert suffix_dedup.compare(rows[:10]) == [(0, 0)] * 10
+    assert suffix_dedup.compare([row(4, 4, 1), row(4, 5, 2)]) == [(0, 60)] * 2
+
+
+def test_passages_repeated_inside_a_document(spark):
+    """Occurrences in one document, each with other words around, of a passage that another holds once, or with the same words."""
+    rng = random.Random(33)
+    many = vocabulary(4000, 34)
+    text = lambda n: prose(rng, n, many)
+    rows = []
+    for k in range(10):
+        passage = text(60)
+        rows.append((10 * k, " ".join(passage + " " + text(100) for _ in range(10))))
+        rows.append((10 * k + 1, text(100) + " " + passage + " " + text(100)))
+        wide = text(100) + " " + (other := text(60)) + " " + text(100)
+        rows += [(10 * k + 2, wide + " " + text(50) + " " + other + " " + text(100)), (10 * k + 3, wide + " " + text(20))]
+    assert found_passages(spark, rows) == plain_passages(rows)
+
+
 # ---- 9: mixing
 
 
