@@ -16,7 +16,7 @@ large-star and small-star rounds over written tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -310,16 +310,23 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows one. All columns are kept; an empty table gives no rows.
     """
     ship(docs.sparkSession)
+
+    def rooted(keyed: DataFrame, keys: list[str]) -> DataFrame:
+        prints = keep(keyed.select(*keys, fingerprint(F.col(text_col)).alias("fp")), "simhash")
+        return _components_of(keep(prints.groupBy("fp").agg(F.min(F.struct(*keys)).alias("first")), "simhash-codes"))
+
+    return first_of_each(docs, id_col, text_col, rooted)
+
+
+def first_of_each(docs: DataFrame, id_col: str, text_col: str, rooted: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``rooted(docs with keys, keys)``, whose ``first`` has the least keys of a code."""
     keys = ["__sim_null", "__sim_id", "__sim_tie"]
     keyed = (
         docs.withColumn("__sim_null", F.col(id_col).isNull())
         .withColumn("__sim_id", F.coalesce(F.col(id_col), F.lit(0)))
         .withColumn("__sim_tie", F.xxhash64(text_col))
     )
-    prints = keep(keyed.select(*keys, fingerprint(F.col(text_col)).alias("fp")), "simhash")
-    codes = prints.groupBy("fp").agg(F.min(F.struct(*keys)).alias("first"))
-    rooted = _components_of(keep(codes, "simhash-codes"))
-    staying = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    staying = rooted(keyed, keys).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     in_turn = Window.partitionBy(*keys).orderBy(*keys)
     kept = keyed.join(staying, keys, "left_semi").withColumn("__sim_turn", F.row_number().over(in_turn)).where("__sim_turn = 1")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -93,3 +93,35 @@ def test_empty_corpus(spark, corpus):
         docs = stage(spark, docs, path)
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)
+
+
+def test_near_copies_go(spark):
+    """The stage against all pairs of five-word shingle sets."""
+    rng = random.Random(41)
+    many = vocabulary(4000, 42)
+
+    def edited(text, n):
+        words = text.split()
+        for at in rng.sample(range(len(words)), n):
+            words[at] = rng.choice(many)
+        return " ".join(words)
+
+    texts = [None, "", "one two", "One  two", "one three"]
+    for n in range(40):
+        base = prose(rng, rng.randrange(40, 300), many)
+        texts += [base] + [edited(base, max(1, len(base.split()) * (n % 8) // 100)) for _ in range(3)]
+    hot = prose(rng, 200, many)
+    texts += [edited(hot, 1 + k % 6) for k in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(root))
