@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineaframe.llm.pii import _let, _running_sums
+from lineaframe.storage import keep
 
 #: White space characters, as a pattern.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Hashes of texts in buckets of several rows are broadcast up to this many.
+BROADCAST_TEXTS = 1_000_000
 _HANGUL = range(0xAC00, 0xAC00 + 11172)
 _PAIR, _ITEM = "\ue000", "\ue001"
 
@@ -163,14 +166,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty; null ids are passed over by the smallest;
     repeated rows are members each; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    buckets = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    several = buckets.where("n > 1").select("fingerprint")
-    compared = rows.join(several, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
-    mixed = compared.where("lo != hi").select("fingerprint")
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    prints = keep(docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"), digest(canonical(F.col(text_col))).alias("fingerprint")), "digests")
+    buckets = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    several = keep(prints.join(buckets.where("n > 1"), "fingerprint", "left_semi").select("raw").distinct(), "digests-several")
+    if several.count() <= BROADCAST_TEXTS:
+        several = F.broadcast(several)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), raw.alias("raw")).join(several, "raw", "left_semi")
+    rows = rows.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
+    compared = rows.groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    mixed = keep(compared.where("lo != hi").select("fingerprint"), "digests-mixed")
     split = rows.join(mixed, "fingerprint", "left_semi").select("doc_id", "fingerprint", F.sha2("canon", 512).alias("further"))
     apart = split.groupBy("fingerprint", "further").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    whole = rows.select("doc_id", "fingerprint").join(mixed, "fingerprint", "left_anti").join(buckets, "fingerprint")
+    whole = prints.select("doc_id", "fingerprint").join(mixed, "fingerprint", "left_anti").join(buckets, "fingerprint")
     parts = split.join(apart, ["fingerprint", "further"])
     pick = ["doc_id", "fingerprint", F.col("least").alias("group_id"), F.col("n").alias("group_size")]
     return whole.select(*pick).union(parts.select(*pick))

@@ -78,13 +78,16 @@ def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprint.with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
+    rows = fingerprint.with_next(docs, "doc_id", "text")
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
     rows = rows.withColumn("edited", edited).withColumn("canon", fingerprint.canonical(F.col("edited")))
     rows = rows.withColumn("edited_fingerprint", fingerprint.digest(F.col("canon")))
-    return rows.select(
+    groups = fingerprint.exact_groups(docs).select(F.col("doc_id").alias("g_id"), F.col("fingerprint").alias("g_fp"), "group_id", "group_size")
+    member = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("fingerprint") == F.col("g_fp"))
+    out = rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -93,6 +96,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.same(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("text"), F.col("edited")).alias("near_edited"),
         fingerprint.same(F.col("fingerprint"), F.col("next_fingerprint"), F.col("text"), F.col("next_text")).alias("near_next"),
     )
+    return out.join(groups.dropDuplicates(["g_id", "g_fp"]), member).select(*out.columns, "group_id", "group_size")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from conftest_llm import frame, prose, vocabulary
 from pyspark.sql import functions as F
 
 from lineaframe.llm import decontam, fingerprint, html_text, license_scan, mixing, pii, quality, simhash, suffix_dedup, url_filter
-from lineaframe.llm.queries import URL_RULES
+from lineaframe.llm.queries import QUERIES, URL_RULES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -317,6 +317,17 @@ def test_exact_groups(spark, odd_rows):
     assert sorted(((r["doc_id"], r["group_id"], r["group_size"]) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_fingerprint_query_groups(spark, odd_rows, tmp_path):
+    rows = [r[:2] for r in odd_rows]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op7_fingerprint"](spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        group = [j for j, u in rows if plain_canonical(u or "") == plain_canonical(t or "")]
+        want.append((i, min((j for j in group if j is not None), default=None), len(group)))
+    assert sorted(((r["doc_id"], r["group_id"], r["group_size"]) for r in got), key=str) == sorted(want, key=str)
+
+
 # ---- 8: repeated passages
 
 
