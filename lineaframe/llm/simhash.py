@@ -16,7 +16,7 @@ large-star and small-star rounds over written tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineaframe.llm.names import free_name
 from lineaframe.storage import forget, keep, ship
 
 MOST_BITS = 3
@@ -54,7 +55,17 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     for lo in range(0, n, 65536):
         pieces = [joined[a:b] for a, b in zip(starts[lo : lo + 65536], stops[lo : lo + 65536], strict=True)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces))
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        set_bits += bit_counts(h)
+    return majority(set_bits, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(set_bits: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are those set in over half of ``n`` hashes."""
     bits = (set_bits * 2 > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
@@ -302,31 +313,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_likeness: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: that of the smallest id.
 
+    Links are those of :func:`near_duplicates`, or with ``by_likeness`` pairs of
+    texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or
+    more (:mod:`lineaframe.llm.near_copies`); null and empty texts are copies of
+    each other in either way.
+
     Rows with a null id stay only where their component has no other; of rows
     with the same id the one with the smallest text hash stays, and of repeated
-    rows one. All columns are kept; an empty table gives no rows.
+    rows one. All columns are kept, whatever their names; an empty table gives
+    no rows.
     """
-    ship(docs.sparkSession)
+    from lineaframe.llm.near_copies import rooted_classes
 
-    def rooted(keyed: DataFrame, keys: list[str]) -> DataFrame:
-        prints = keep(keyed.select(*keys, fingerprint(F.col(text_col)).alias("fp")), "simhash")
-        return _components_of(keep(prints.groupBy("fp").agg(F.min(F.struct(*keys)).alias("first")), "simhash-codes"))
-
-    return first_of_each(docs, id_col, text_col, rooted)
-
-
-def first_of_each(docs: DataFrame, id_col: str, text_col: str, rooted: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
-    """One row of ``docs`` for each ``root`` of ``rooted(docs with keys, keys)``, whose ``first`` has the least keys of a code."""
-    keys = ["__sim_null", "__sim_id", "__sim_tie"]
+    ship(docs.sparkSession)
+    keys = [free_name(docs, k) for k in ("__sim_null", "__sim_id", "__sim_tie")]
+    turn = free_name(docs, "__sim_turn")
     keyed = (
-        docs.withColumn("__sim_null", F.col(id_col).isNull())
-        .withColumn("__sim_id", F.coalesce(F.col(id_col), F.lit(0)))
-        .withColumn("__sim_tie", F.xxhash64(text_col))
+        docs.withColumn(keys[0], F.col(id_col).isNull())
+        .withColumn(keys[1], F.coalesce(F.col(id_col), F.lit(0)))
+        .withColumn(keys[2], F.xxhash64(text_col))
     )
-    staying = rooted(keyed, keys).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    if by_likeness:
+        rooted = rooted_classes(keyed, keys, text_col)
+    else:
+        prints = keep(keyed.select(*keys, fingerprint(F.col(text_col)).alias("fp")), "simhash")
+        rooted = _components_of(keep(prints.groupBy("fp").agg(F.min(F.struct(*keys)).alias("first")), "simhash-codes"))
+    staying = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     in_turn = Window.partitionBy(*keys).orderBy(*keys)
-    kept = keyed.join(staying, keys, "left_semi").withColumn("__sim_turn", F.row_number().over(in_turn)).where("__sim_turn = 1")
+    kept = keyed.join(staying, keys, "left_semi").withColumn(turn, F.row_number().over(in_turn)).where(F.col(turn) == 1)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

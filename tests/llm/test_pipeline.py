@@ -7,7 +7,7 @@ from conftest_llm import prose, vocabulary
 from test_operators import junk, plain_components, plain_pii, plain_scan, plain_simhash, plain_targets
 
 import corpus_pipeline
-from lineaframe.llm import quality
+from lineaframe.llm import near_copies, quality
 
 
 @pytest.fixture(scope="module")
@@ -95,8 +95,10 @@ def test_empty_corpus(spark, corpus):
         docs = spark.createDataFrame([], docs.schema)
 
 
-def test_near_copies_go(spark):
-    """The stage against all pairs of five-word shingle sets."""
+@pytest.mark.parametrize("part", [near_copies.PART, 3])
+def test_near_copies_go(spark, monkeypatch, part):
+    """The stage against all pairs of five-word shingle sets, also with nodes dealt out in small blocks."""
+    monkeypatch.setattr(near_copies, "PART", part)
     rng = random.Random(41)
     many = vocabulary(4000, 42)
 
