@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineaframe.llm import decontam, mixing, near_copies, pii, quality
+from lineaframe.llm import decontam, mixing, pii, quality, simhash
 from lineaframe.llm.queries import table
 from lineaframe.storage import forget, keep
 
@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest id."""
-    return near_copies.deduplicate(docs.select(*COLUMNS))
+    return simhash.deduplicate(docs.select(*COLUMNS), by_likeness=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
