@@ -17,7 +17,11 @@ from dataclasses import asdict, dataclass
 from pathlib import Path
 from urllib.parse import quote
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from lineaframe.plans.types import format_stamp, parse_stamp
+from lineaframe.sources.clean import read_time
 from lineaframe.sources.raw import METADATA, FetchRecord, digest, new_directory, page_record, write_fetch
 from lineaframe.sources.spec import TOWNS, Dataset, Scope, check_metadata
 
@@ -171,6 +175,36 @@ def flatten(issue: dict) -> tuple[dict | None, str]:
     }, organization
 
 
+def flattened(issues: DataFrame) -> DataFrame:
+    """``record, organization`` of nested requests (column ``raw``, JSON), as :func:`flatten` makes them, by DataFrame functions.
+
+    ``record`` is the flat JSON, or null where the organization is not a town's
+    (``(none)`` where there is none). Numbers stay as the source writes them.
+    """
+    at = lambda path: F.get_json_object("raw", f"$.{path}")
+    shape = F.try_parse_json("raw")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(shape, f"$.{path}", "variant"))
+    text = lambda path: F.when(kind(path) == "STRING", at(path))
+    scalar = lambda path: F.when(kind(path).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE)"), at(path))
+
+    def clock(path: str) -> Column:
+        time = text(path)
+        plain = F.substring(time, 1, 19)
+        offset = F.substring(time, 20, 1).isin("+", "-", "Z", ".") & read_time(plain).isNotNull()
+        return F.when(offset, plain).otherwise(time)
+
+    organization = F.coalesce(F.when(text("request_type.organization") != "", text("request_type.organization")), F.lit("(none)"))
+    town = F.try_element_at(F.create_map(*[F.lit(x) for pair in TOWNS.items() for x in pair]), organization)
+    zips = F.regexp_extract_all(text("address"), F.lit("(?<![0-9])[0-9]{5}(?![0-9])"), F.lit(0))
+    fields = {
+        "id": scalar("id"), "created_at": clock("created_at"), "closed_at": clock("closed_at"), "town": town,
+        "request_type": F.coalesce(text("request_type.title"), scalar("summary")), "status": scalar("status"),
+        "zip": F.try_element_at(zips, F.lit(-1)), "lat": scalar("lat"), "lng": scalar("lng"),
+    }
+    record = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return issues.select(F.when(town.isNotNull(), record).alias("record"), organization.alias("organization"))
+
+
 def fetch_seeclickfix(
     spec: Dataset,
     scope: Scope,
