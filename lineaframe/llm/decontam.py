@@ -14,16 +14,18 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineaframe.storage import keep, ship
+from lineaframe.llm.names import free_name
+from lineaframe.storage import forget, keep, ship
 
 #: Words of a window; shorter items are one window.
 WINDOW = 10
-#: Characters of benchmark text whose tables (some 100 bytes a character to build) are broadcast at once; more goes round by round.
+#: Characters of benchmark text whose tables (some 100 bytes a character to build) are broadcast at once; more goes block by block.
 BLOCK_CHARS = 2_000_000
 
 #: Folds A-Z to a-z and every other ASCII character that is not a letter or digit to a space.
@@ -130,19 +132,67 @@ def _scan(text: Column, tables: list[WuManber], spark) -> Column:  # noqa: ANN00
     return scan(text)
 
 
-def _summed(state: str) -> Column:
-    """Counts and digest of what the rounds have found."""
+def _counted(n_words: int, spans: Iterable[tuple[int, int]], ids: Iterable[str]) -> tuple[int, int, int, str]:
+    names = sorted(set(ids))
+    return n_words, sum(e - s for s, e in merge(spans)), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
-    @F.pandas_udf("n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
+
+_RESULT = ["n_words", "n_hit", "n_items", "items_sha256"]
+_RESULT_TYPE = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string"
+
+
+def _summed(state: Column) -> Column:
+    """Counts and digest of what one round has found."""
+
+    @F.pandas_udf(_RESULT_TYPE)
     def summed(counts: pd.Series, hits: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = []
-        for n, spans, ids in zip(counts, hits, items, strict=True):
-            names = sorted(set(ids))
-            covered = sum(e - s for s, e in merge((x["start"], x["end"]) for x in spans))
-            rows.append((n, covered, len(names), hashlib.sha256(",".join(names).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256"])
+        rows = [_counted(n, [(x["start"], x["end"]) for x in spans], ids) for n, spans, ids in zip(counts, hits, items, strict=True)]
+        return pd.DataFrame(rows, columns=_RESULT)
+
+    return summed(state["n_words"], state["hits"], state["items"])
 
-    return summed(F.col(f"{state}.n_words"), F.col(f"{state}.hits"), F.col(f"{state}.items"))
+
+def _summed_rounds(text: Column, found: Column) -> Column:
+    """Counts and digest of what all rounds have found in a text."""
+
+    @F.pandas_udf(_RESULT_TYPE)
+    def summed(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, rounds in zip(texts, lists, strict=True):
+            rounds = [] if rounds is None else rounds
+            spans = [(x["start"], x["end"]) for r in rounds for x in r["hits"]]
+            rows.append(_counted(len(words_of(text)), spans, (i for r in rounds for i in r["items"])))
+        return pd.DataFrame(rows, columns=_RESULT)
+
+    return summed(text, found)
+
+
+def _pieces(items: DataFrame, window: int, step: int) -> DataFrame:
+    """``item, piece``: each item's words, cut so that every window lies in one piece; ``step`` windows a piece."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, body in zip(batch["item"], batch["body"], strict=True):
+                words = words_of(body)
+                starts = range(0, max(1, len(words) - window + 1), step)
+                texts = [b" ".join(words[s : s + step + window - 1]).decode("utf-8", "replace") for s in starts]
+                yield pd.DataFrame({"item": [item] * len(texts), "piece": texts})
+
+    return items.mapInPandas(cut, "item string, piece string").where("piece != ''")
+
+
+def _blocks(items: DataFrame, window: int, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """Windows of the items in blocks of at most ``block_chars`` (or one piece, should it be longer)."""
+    pieces = keep(_pieces(items, window, max(1, block_chars // 64)), "decontam-pieces")
+    size = F.length("piece")
+    total, longest = pieces.agg(F.sum(size), F.max(size)).first()
+    rounds = -(-3 * (total or 0) // (2 * block_chars))
+    mine = lambda: F.pmod(F.xxhash64("item", "piece"), F.lit(rounds))
+    while rounds and pieces.groupBy(mine().alias("r")).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] > max(block_chars, longest):
+        rounds *= 2
+    for r in range(rounds):
+        yield [(x["item"], x["piece"]) for x in pieces.where(mine() == r).collect()]
+    forget(pieces)
 
 
 def scan(
@@ -160,38 +210,33 @@ def scan(
     ``n_hit`` counts words inside any occurrence of a window, ``n_items`` the
     distinct ids of items with occurring windows, and the digest is that of
     these ids, sorted as strings and comma-joined. Null and empty texts have no
-    words; items without words, or with a null id, have no windows; an empty
-    benchmark hits nothing; repeated rows are each judged. No row is shuffled.
-
-    Tables of up to ``block_chars`` of benchmark text are broadcast together. A
-    larger benchmark is dealt into so many blocks by item, and the documents go
-    round once for each, keeping spans and ids between rounds in a written
-    table; so neither the driver nor a task ever holds more than one block.
+    words; items without words, or with a null id, have no windows; items that
+    repeat count once; an empty benchmark hits nothing; repeated rows are each
+    judged; a column named ``into`` that ``docs`` has already is replaced.
+
+    The tables of up to ``block_chars`` of benchmark text are broadcast, and no
+    row is shuffled. A larger benchmark is cut into pieces, long items too, and
+    dealt into blocks of that size; the documents are read once for each, and
+    only the hits of distinct texts with any are written. So neither the driver
+    nor a task ever holds more than one block. At the end a document finds the
+    hits of its text by a 128-bit digest.
     """
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where(
         "item is not null and body is not null"
-    )
-    chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    rounds = max(1, -(-chars // block_chars))
-    state = f"__{into}"
-    out = docs
-    for r in range(rounds):
-        mine = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(rounds)) == r)
-        tables = build([(x["item"], x["body"]) for x in mine.collect()], window)
-        now = _scan(F.col(text_col), tables, spark)
-        if r == 0:
-            out = out.withColumn(state, now)
-        else:
-            out = out.withColumn(f"{state}_now", now).withColumn(
-                state,
-                F.struct(
-                    F.col(f"{state}.n_words").alias("n_words"),
-                    F.concat(f"{state}.hits", f"{state}_now.hits").alias("hits"),
-                    F.array_union(f"{state}.items", f"{state}_now.items").alias("items"),
-                ),
-            ).drop(f"{state}_now")
-        if r < rounds - 1:
-            out = keep(out, "decontam")
-    return out.withColumn(into, _summed(state)).drop(state)
+    ).distinct()
+    if (items.agg(F.sum(F.length("body"))).first()[0] or 0) <= block_chars:
+        state = free_name(docs, "__found")
+        out = docs.withColumn(state, _scan(F.col(text_col), build([(x["item"], x["body"]) for x in items.collect()], window), spark))
+        return out.withColumn(into, _summed(F.col(state))).drop(state)
+    key = F.struct(F.xxhash64(text_col).alias("one"), F.xxhash64(F.lit("wide"), text_col).alias("two"))
+    texts = docs.where(F.length(text_col) > 0).select(key.alias("key"), F.col(text_col).alias("text"))
+    written = []
+    for block in _blocks(items, window, block_chars):
+        found = texts.select("key", _scan(F.col("text"), build(block, window), spark).alias("x"))
+        written.append(keep(found.where(F.size("x.hits") > 0).dropDuplicates(["key"]).select("key", "x.hits", "x.items"), "decontam-hits"))
+    digest, rounds = free_name(docs, "__text"), free_name(docs, "__rounds")
+    hits = reduce(DataFrame.union, written).groupBy(F.col("key").alias(digest)).agg(F.collect_list(F.struct("hits", "items")).alias(rounds))
+    joined = docs.withColumn(digest, key).join(hits, digest, "left").drop(digest)
+    return joined.withColumn(into, _summed_rounds(F.col(text_col), F.col(rounds))).drop(rounds)
