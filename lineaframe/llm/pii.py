@@ -8,7 +8,9 @@ added where their score reaches ``ACCEPT``.
 Positions come without any Python: a text split by a pattern gives the pieces
 between the matches, and running sums of the lengths of pieces and matches are
 the starts and ends, in code points. Patterns use possessive repeats and start
-at most once in a run of characters, so they take linear time on any text.
+at most once in a run of characters; sums run by blocks, and of a long
+text only the pieces of ``CHUNK`` around a place are read. So a text takes time
+in proportion to its length, however many spans it holds.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ NEARBY = {
 #: Characters on each side in which words count as nearby; least score of a span of an added kind.
 REACH = 40
 ACCEPT = 0.7
+#: Code points of a piece of a long text, and the length up to which a text is one piece.
+CHUNK = 256
+ONE_PIECE = 4096
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -58,20 +63,47 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _running(values: Column, joined: Callable[[Column, Column], Column], start: Column, levels: int = 1) -> Column:
+    """``joined`` over ``values[0..i]`` for each i: by blocks, so that each i reads a block, and the blocks before are few."""
+    block = 256
+    total = lambda xs: F.aggregate(xs, start, joined)
+    if not levels:
+        return _let(values, lambda xs: F.transform(xs, lambda _, i: total(F.slice(xs, F.lit(1), i + 1))))
+    at = lambda i: F.floor(i / block).cast("int")
+
+    def by_blocks(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), at(F.size(xs) - 1))
+        blocks = F.transform(numbers, lambda b: total(F.slice(xs, b * block + 1, block)))
+        return _let(
+            F.struct(xs.alias("xs"), _running(blocks, joined, start, levels - 1).alias("run")),
+            lambda s: F.transform(
+                s["xs"],
+                lambda _, i: joined(
+                    F.when(i < block, start).otherwise(F.get(s["run"], at(i) - 1)), total(F.slice(s["xs"], at(i) * block + 1, i % block + 1))
+                ),
+            ),
+        )
+
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, by_blocks(xs)).otherwise(xs))
+
+
 def _running_sums(lengths: Column) -> Column:
-    """Sums of ``lengths[0..i]`` for each i, in blocks, so that no text is too long for it."""
-    block = 64
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
-    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int"))
-    blocks = F.transform(starts, lambda b: total(F.slice(lengths, b * block + 1, block)))
-    return _let(
-        F.struct(lengths.alias("xs"), blocks.alias("sums")),
-        lambda s: F.transform(
-            s["xs"],
-            lambda _, i: total(F.slice(s["sums"], 1, F.floor(i / block).cast("int")))
-            + total(F.slice(s["xs"], F.floor(i / block).cast("int") * block + 1, i % block + 1)),
-        ),
-    )
+    """Sums of ``lengths[0..i]`` for each i."""
+    return _running(lengths, lambda acc, x: acc + x, F.lit(0))
+
+
+def _in_pieces(text: Column) -> Column:
+    """``struct<size, pieces>`` of a text, for :func:`_part`."""
+    long = F.length(text) > ONE_PIECE
+    pieces = F.when(long, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(text))
+    return F.struct(F.when(long, F.lit(CHUNK)).otherwise(F.greatest(F.length(text), F.lit(1))).alias("size"), pieces.alias("pieces"))
+
+
+def _part(cut: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text cut by :func:`_in_pieces`, as far as it goes."""
+    first, last = F.floor(start / cut["size"]).cast("int"), F.floor(F.greatest(start, end - 1) / cut["size"]).cast("int")
+    around = F.array_join(F.slice(cut["pieces"], first + 1, last - first + 1), "")
+    return F.substring(around, start - first * cut["size"] + 1, F.greatest(F.lit(0), end - start))
 
 
 def proposals(text: Column, pattern: str, present: Column) -> Column:
@@ -172,7 +204,7 @@ def find_spans(text: Column) -> Column:
     for kind, (pattern, confirmed) in _RULES.items():
         cheap = _CHEAP.get(kind)
         present = cheap(text) & text.rlike(pattern) if cheap else text.rlike(pattern)
-        found = F.transform(_accepted(proposals(text, pattern, present), confirmed), _scorer(text, kind))
+        found = _let(_accepted(proposals(text, pattern, present), confirmed), _scored(text, kind))
         if kind in ADDED_KINDS:
             found = F.filter(found, lambda s: s["score"] >= ACCEPT)
         kinds.append(found.cast(_SPAN))
@@ -183,9 +215,16 @@ def _accepted(spans: Column, confirmed: Callable[[Column], Column]) -> Column:
     return F.filter(spans, lambda s: confirmed(s["value"]))
 
 
-def _scorer(text: Column, kind: str) -> Callable[[Column], Column]:
+def _scored(text: Column, kind: str) -> Callable[[Column], Column]:
+    """Spans with their scores; a text without spans is not cut."""
+    return lambda spans: F.when(F.size(spans) > 0, _let(_in_pieces(text), lambda cut: F.transform(spans, _scorer(cut, kind)))).otherwise(
+        F.array().cast(_SPAN)
+    )
+
+
+def _scorer(cut: Column, kind: str) -> Callable[[Column], Column]:
     def scored(s: Column) -> Column:
-        around = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(s["start"], F.lit(REACH)) + s["end"] - s["start"] + REACH))
+        around = F.lower(_part(cut, F.greatest(F.lit(0), s["start"] - REACH), s["end"] + REACH))
         outside = F.replace(around, F.lower(s["value"]), F.lit(" "))
         more = F.when(outside.rlike(NEARBY[kind]), F.lit(NEARBY_ADDS[kind])).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.lit(SCORES[kind]) + more, 2).alias("score"))
@@ -213,15 +252,18 @@ def redact(text: Column, spans: Column) -> Column:
     replacement. Null texts stay null.
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        added = F.concat(F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.when(apart, F.concat(acc["out"], added)).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
+
+    def replaced(cut: Column, sorted_spans: Column, reach: Column) -> Column:
+        """``reach`` is the furthest end of each span and those before it."""
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+        marked = F.transform(
+            sorted_spans,
+            lambda s, i: F.when(s["start"] >= before(i), F.concat(_part(cut, before(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")),
         )
+        return F.concat(F.array_join(marked, ""), _part(cut, F.element_at(reach, -1), F.length(text)))
 
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = _let(
+        _let(ordered, lambda o: F.struct(o.alias("o"), _running(F.transform(o, lambda s: s["end"]), lambda acc, x: F.greatest(acc, x), F.lit(0)).alias("reach"))),
+        lambda s: _let(_in_pieces(text), lambda cut: replaced(cut, s["o"], s["reach"])),
+    )
     return F.when(F.size(spans) > 0, done).otherwise(text)
