@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineaframe.llm import decontam, fingerprint, html_text, license_scan, mixing, pii, quality, simhash, suffix_dedup, url_filter
+from lineaframe.llm.pii import _let
+from lineaframe.storage import keep
 
 #: The rules of the url query.
 URL_RULES = (
@@ -78,25 +80,30 @@ def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = fingerprint.with_next(docs, "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fingerprint.with_next(docs)
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
-    rows = rows.withColumn("edited", edited).withColumn("canon", fingerprint.canonical(F.col("edited")))
-    rows = rows.withColumn("edited_fingerprint", fingerprint.digest(F.col("canon")))
-    groups = fingerprint.exact_groups(docs).select(F.col("doc_id").alias("g_id"), F.col("fingerprint").alias("g_fp"), "group_id", "group_size")
-    member = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("fingerprint") == F.col("g_fp"))
-    out = rows.select(
+    likeness = lambda fp, text: fingerprint.same(F.col("fingerprint"), fp, F.col("text"), text)
+
+    def of_edited(e: Column) -> Column:
+        made = _let(fingerprint.digest(fingerprint.canonical(e)), lambda fp: F.struct(fp.alias("fp"), likeness(fp, e).alias("near")))
+        return F.struct(F.sha2(e.cast("binary"), 256).alias("sha256"), made.alias("made"))
+
+    prints = rows.select(
         "doc_id",
+        "raw",
         n.cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        _let(edited, of_edited).alias("edited"),
         "fingerprint",
-        "edited_fingerprint",
-        fingerprint.same(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("text"), F.col("edited")).alias("near_edited"),
-        fingerprint.same(F.col("fingerprint"), F.col("next_fingerprint"), F.col("text"), F.col("next_text")).alias("near_next"),
+        likeness(F.col("next_fingerprint"), F.col("next_text")).alias("near_next"),
     )
-    return out.join(groups.dropDuplicates(["g_id", "g_fp"]), member).select(*out.columns, "group_id", "group_size")
+    prints = keep(prints, "fingerprints").select(
+        "doc_id", "raw", "n_chars", F.col("edited.sha256").alias("edited_sha256"), "fingerprint", F.col("edited.made.fp").alias("edited_fingerprint"),
+        F.col("edited.made.near").alias("near_edited"), "near_next",
+    )
+    return fingerprint.exact_groups(docs, prints=prints).drop("raw")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
