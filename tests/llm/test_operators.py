@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 from itertools import combinations
 
@@ -60,6 +61,24 @@ def test_decontamination_finds_every_window(spark, odd_rows, block_chars):
     assert any(r[2] for r in want) and any(r[3] > 1 for r in want)
 
 
+def test_benchmark_blocks_are_bounded(spark):
+    """Copies of an item, and one long item, over many blocks; none is above the bound and every window is in one block."""
+    rng = random.Random(81)
+    long = prose(rng, 4000, vocabulary(3000, 82))
+    bench = [(1, prose(rng, 30))] * 300 + [(2, long), (3, "a b c"), (4, None), (5, " - ")]
+    items = spark.createDataFrame(bench, "item string, body string").where("body is not null").distinct()
+    blocks = list(decontam._blocks(items, 10, 4000))
+    assert len(blocks) > 5 and max(sum(len(t) for _, t in b) for b in blocks) <= 4000
+    found = [" ".join(w[i : i + 10]) for b in blocks for item, t in b if item == "2" for w in [words(t)] for i in range(len(w) - 9)]
+    w = words(long)
+    assert sorted(found) == sorted(" ".join(w[i : i + 10]) for i in range(len(w) - 9))
+    docs = [(1, prose(rng, 20) + " " + " ".join(long.split()[1990:2110])), (2, bench[0][1]), (2, bench[0][1]), (3, "x a B c y"), (4, None), (None, "a b c")]
+    table = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = decontam.scan(frame(spark, docs), table, block_chars=4000, into="found").select("doc_id", "found.*").collect()
+    want = [(i, *plain_scan(t, set(bench))) for i, t in docs]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = frame(spark, [(1, "a b")]), spark.createDataFrame([], "item_id bigint, text string")
     assert [tuple(r) for r in decontam.scan(docs, bench, into="f").select("f.n_words", "f.n_hit").collect()] == [(2, 0)]
@@ -118,13 +137,67 @@ def test_held_out_rule(spark):
     assert all(r["out"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
 
 
-def test_slabs_cover_long_texts(monkeypatch):
-    text = prose(random.Random(3), 3000)
-    whole = np.concatenate(list(quality.slabs(text)))
-    monkeypatch.setattr(quality, "SLAB", 10)
-    parts = list(quality.slabs(text))
-    joined = np.concatenate([p if i == 0 else p[1:] for i, p in enumerate(parts)])
-    assert len(parts) > 5 and np.allclose(whole, joined)
+def plain_forward(net, text):
+    """The network as its definition reads, byte by byte."""
+    data = list((text or "").encode())
+    cells = max(2, -(-len(data) // 64))
+    embed = lambda i: net.embed[data[i]] if 0 <= i < len(data) else np.zeros(net.embed.shape[1])
+    channels = []
+    for c in range(cells):
+        byte_filters = []
+        for at in range(64 * c, 64 * c + 64, 2):
+            window = np.concatenate([embed(i) for i in range(at - 4, at + 2)])
+            byte_filters.append(np.maximum(window @ net.bytewise + net.offset, 0) if at < len(data) else np.zeros(len(net.offset)))
+        repeats = [sum(data[i] == data[i - lag] for i in range(64 * c, min(64 * c + 64, len(data))) if i >= lag) / 64 for lag in range(1, 25)]
+        channels.append(np.concatenate([np.mean(byte_filters, axis=0), repeats]))
+    pooled = np.zeros(len(net.shift))
+    for one, two in zip(channels, channels[1:], strict=False):
+        pooled = np.maximum(pooled, one @ net.left + two @ net.right + net.shift)
+    return 1 / (1 + np.exp(-(pooled @ net.out + net.bias[0])))
+
+
+def test_network_is_what_its_definition_says(monkeypatch):
+    rng = random.Random(3)
+    texts = [None, "", "a", "x" * 64, "é" * 70, prose(rng, 400), junk(rng, 200), prose(rng, 900)]
+    net = quality.train(texts[2:], [0, 1, 0, 1, 0, 1], steps=3)
+    want = [plain_forward(net, t) for t in texts]
+    assert np.allclose(net.scores(texts), want, atol=1e-4) and len(set(np.round(want, 5))) > 4
+    monkeypatch.setattr(quality, "PIECE", 7)
+    monkeypatch.setattr(quality, "PACK", 9)
+    assert np.allclose(net.scores(texts), want, atol=1e-4)
+
+
+def test_gradients():
+    rng = np.random.default_rng(5)
+    texts, y, weight = ["ab cd " * 30, "x", "!!" * 90, "zz y" * 40], np.array([1, 0, 1, 0]), np.full(4, 0.25)
+    net = quality._new(rng)
+    for name, value in vars(net).items():
+        setattr(net, name, value.astype(np.float64) + 0.05)
+
+    def loss():
+        p = net.scores(texts)
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    for p, g in zip(vars(net).values(), quality.gradients(net, texts, y, weight), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        here = p[at]
+        p[at] = here + 1e-3
+        up = loss()
+        p[at] = here - 1e-3
+        down = loss()
+        p[at] = here
+        assert abs((up - down) / 2e-3 - g[at]) < 0.01 + 0.02 * abs(g[at])
+
+
+def test_quality_learns_from_long_texts(spark):
+    """Texts of over 20,000 characters are examples like any other, and ids that repeat in the table lose no row of the bound."""
+    rng = random.Random(51)
+    rows = [(i, (junk(rng, 5000) if i % 2 else prose(rng, 7000).capitalize())) for i in range(80)]
+    docs = frame(spark, rows + rows[:20])
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(-200, 80)], "doc_id bigint, quality int")
+    assert min(len(t) for _, t in rows) > 20_000
+    scored = quality.score(docs, quality.fit(docs, labels, train_rows=25)).where(quality.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r["score"] >= 0.7) == (r["doc_id"] % 2 == 0) for r in scored]) > 0.9
 
 
 # ---- 3: personal data
@@ -183,6 +256,36 @@ def test_pii_added_kinds_and_redaction(spark):
     assert all(0 <= s["score"] <= 1 for s in rows[1]["s"])
 
 
+def test_pii_of_long_texts(spark):
+    """Positions, scores and replacements past the first piece of a text, and time in proportion to the number of spans."""
+    rng = random.Random(45)
+    filler = lambda n: "".join(rng.choice("xyz é😀.\n") for _ in range(n))
+    text = "".join(filler(rng.randrange(1, 700)) + rng.choice([" a@b.org ", " mail: c.d@e.fr ", " +49 30 1234567 ", " IBAN DE89370400440532013000 ", " 10.0.0.1 "]) for _ in range(150)) + filler(9000)
+    short = [text[i : i + 3000] for i in range(0, len(text), 3000)]
+    rows = [(1, text)] + [(i, t) for i, t in enumerate(short, 2)]
+    got = {r["doc_id"]: r for r in frame(spark, rows).select("doc_id", "text", pii.find_spans(F.col("text")).alias("s")).withColumn("out", pii.redact(F.col("text"), F.col("s"))).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]["s"] if s["kind"] in pii.BASE_KINDS] == plain_pii(text)
+    for i, t in rows:
+        out, at = "", 0
+        for s in sorted(got[i]["s"], key=lambda s: (s["start"], s["end"], s["kind"])):
+            around = t[max(0, s["start"] - 40) : s["end"] + 40].lower().replace(t[s["start"] : s["end"]].lower(), " ")
+            near = pii.NEARBY_ADDS[s["kind"]] if re.search(pii.NEARBY[s["kind"]], around) else 0
+            assert s["score"] == pytest.approx(pii.SCORES[s["kind"]] + near)
+            if s["start"] >= at:
+                out += t[at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert got[i]["out"] == out + t[at:]
+    took = []
+    for n in (8000, 32_000):
+        many = frame(spark, [(1, "mail me at a@b.org now " * n)]).select(F.col("text"), pii.find_spans(F.col("text")).alias("s")).cache()
+        began = time.perf_counter()
+        (row,) = many.select(F.size("s"), F.length(pii.redact(F.col("text"), F.col("s")))).collect()
+        took.append(time.perf_counter() - began)
+        assert tuple(row) == (n, 23 * n)
+        many.unpersist()
+    assert took[1] < 8 * took[0] + 2
+
+
 # ---- 4: page text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -207,6 +310,75 @@ def test_page_text():
     assert html_text.main_text(nested) == "T\nBody text."
 
 
+def page_of(rng, wrap):
+    """A page and its text, block by block: titles, short and long paragraphs, lists, with boilerplate in and around the content."""
+    say = lambda low, high: prose(rng, rng.randrange(low, high)).capitalize() + "."
+    junk = lambda: rng.choice([
+        f"<div class='{rng.choice(['ad', 'share-buttons', 'cookieNotice', 'related-posts'])}'><p>{say(3, 60)}</p></div>", f"<aside><p>{say(5, 40)}</p></aside>",
+        f"<form><label>{say(1, 3)}</label><input><button>Go</button></form>", f"<script>var a = '{say(3, 9)}';</script>", "<!-- <p>gone</p> -->",
+    ])
+    want, body = [say(3, 9)], ""
+    body += f"<h1>{want[0]}</h1>"
+    for _ in range(rng.randrange(4, 9)):
+        kind = rng.randrange(5)
+        if kind == 0:
+            items = [say(1, 6) for _ in range(3)]
+            body += "<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>"
+            want += items
+        elif kind == 1:
+            body += junk()
+        else:
+            text = say(*rng.choice([(1, 4), (30, 60), (60, 120)]))
+            one, two = text.split(" ", 1) if " " in text else (text, "")
+            body += f"<p><b>{one}</b>\n {two}" + rng.choice(["</p>", ""])
+            want.append(f"{one} {two}".strip())
+    long = say(60, 90)
+    body += f"<p>{long}</p>"
+    want.append(long)
+    links = "".join(f"<li><a href='/{i}'>{say(1, 3)}</a></li>" for i in range(6))
+    stray = f"<div><a href='/in'>{say(1, 2)}</a> | <a href='/up'>{say(1, 2)}</a></div>"
+    around = [f"<nav><ul>{links}</ul></nav>", stray, junk(), f"<footer><p>{say(4, 30)}</p></footer>"]
+    rng.shuffle(around)
+    cut = rng.randrange(4)
+    comments = f"<section id='comments'><p>{say(40, 80)}</p></section>"
+    page = "<html><head><title>x</title></head><body>" + "".join(around[:cut]) + wrap.format(body + comments) + "".join(around[cut:]) + "</body></html>"
+    return page, "\n".join(want)
+
+
+WRAPS = ["<article>{}</article>", "<main><article>{}</article></main>", "<div>{}</div>", "<div class=page><div class=post>{}</div></div>", "<main>{}</main>", "<table><tr><td>{}</td></tr></table>"]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_content_regions(wrap):
+    rng = random.Random(71)
+    wrong = [(p, t) for p, t in (page_of(rng, wrap) for _ in range(100)) if html_text.main_text(p) != t]
+    assert not wrong, wrong[0]
+
+
+def test_the_ratios_decide(monkeypatch):
+    rng = random.Random(72)
+    pages = [page_of(rng, rng.choice(WRAPS[2:4]))[0] for _ in range(50)]
+    before = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "smooth", lambda values: [0.0] * len(values))
+    assert sum(html_text.main_text(p) != t for p, t in zip(pages, before, strict=True)) > 40
+
+
+def test_smoothing_and_clusters():
+    values = [0.0, 10.0, 0.0, 3.0, 90.0, 80.0, 1.0]
+    kernel = {d: np.exp(-d * d / 2) for d in range(-2, 3)}
+    near = lambda i: [j for j in range(len(values)) if abs(i - j) <= 2]
+    want = [sum(kernel[j - i] * values[j] for j in near(i)) / sum(kernel[j - i] for j in near(i)) for i in range(len(values))]
+    assert np.allclose(html_text.smooth(values), want)
+    assert html_text.threshold([1, 2, 3, 50, 60]) == pytest.approx((2 + 55) / 2) and html_text.threshold([4, 4]) == 4
+
+
+def test_damaged_pages_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" * 40_000 + "</p>" * 40_000 + "x", "<u><div>" + "<i>" * 40_000 + "</u>" * 40_000 + "x", "<div>x" * 30_000, "<p>" * 40_000, "<h1>a" * 20_000 + "<div><p>" + "word " * 300):
+        html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "a b " * 100_000 + "</p>")]
     pages = spark.createDataFrame([(*r, "t", 5) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")
@@ -221,7 +393,7 @@ def test_extract_keeps_every_page(spark):
 
 def plain_rule(host, path, rules):
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    return max(fits, key=lambda r: (len(r.name), r.verdict == "block"), default=None)
+    return max(fits, key=lambda r: (len(r.name), r.verdict == "block", r.name), default=None)
 
 
 def test_url_rules(spark):
@@ -243,6 +415,34 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.where("false"), rules).count() == 0
 
 
+def test_url_verdict_at_any_size(spark):
+    """Rules of equal lengths on different hosts, as a list and as a table, by the trie and by the join."""
+    rng = random.Random(61)
+    labels, chars = ["com", "net", "x", "ab", "a"], "ab/"
+    pick = lambda: ".".join(rng.choice(labels) for _ in range(rng.randrange(1, 4)))
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), pick(), "/" + "".join(rng.choice(chars) for _ in range(rng.randrange(6)))) for _ in range(150)]
+    rules += [url_filter.Rule("allow", "com", "/abcd"), url_filter.Rule("block", "x.com", "/ab")]
+    urls = ["http://x.com/abcdef"] + [f"http://{pick()}/" + "".join(rng.choice(chars) for _ in range(rng.randrange(9))) for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    table = spark.createDataFrame([tuple(r) for r in rules] + [("block", None, "/"), (None, "com", "/")], "verdict string, host string, path string")
+    want = []
+    for i, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        best = plain_rule(host, "/" + path, rules)
+        want.append((i, best and best.name, best.verdict if best else "allow"))
+    assert want[0][1:] == ("x.com/ab", "block")
+    for given, most in ((rules, 10**6), (rules, 0), (table, 10**6), (table, 0)):
+        got = url_filter.judge(pages, given, broadcast_chars=most).select("page_id", "rule", "verdict").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_very_many_rules_of_one_host():
+    trie = url_filter.RuleTrie([url_filter.Rule("block", "example.com", f"/page{i}") for i in range(100_000)])
+    began = time.perf_counter()
+    assert all(trie.find("www.example.com", f"/page{i}x").path == f"/page{i}" for i in range(0, 100_000, 10))
+    assert time.perf_counter() - began < 2  # 10,000 urls
+
+
 # ---- 6: licenses
 
 
@@ -269,12 +469,29 @@ def test_license_notices_survive_small_changes(spark):
     assert got[1] == [("mit", 1)] and got[2] == [("mit", 0)] and got[3] == [] and got[4] == [("mit", 0)] and len(got[5]) == 2
 
 
+def test_whole_license_texts(spark):
+    """Each template as a file carries it, with other words around and a tenth of its words changed."""
+    rng = random.Random(27)
+    rows = []
+    for i, t in enumerate(license_scan.NOTICES):
+        ws = t.text.split()
+        for at in rng.sample(range(len(ws)), len(ws) // 12):
+            ws[at] = "other"
+        rows.append((i, prose(rng, 30) + " " + " ".join(ws).capitalize() + ". " + prose(rng, 30)))
+    got = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert all(t.label in got[i] for i, t in enumerate(license_scan.NOTICES))
+    assert not any(label in got[i] for i, t in enumerate(license_scan.NOTICES) for label in {"zlib", "isc", "bsd"} - {t.label})
+
+
 # ---- 7: fingerprints
 
 
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def plain_canonical(text):
-    folded = unicodedata.normalize("NFC", text or "").lower().replace("ß", "ss").replace("ς", "σ")
-    return re.sub(fingerprint.SPACE.replace(r"\x{", r"\x{").replace("\\x{85}", "\x85").replace("\\x{A0}", "\xa0").replace("\\x{1680}", "\u1680").replace("\\x{2000}-\\x{200A}", "\u2000-\u200a").replace("\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}", "\u2028\u2029\u202f\u205f\u3000"), " ", folded).strip(" ")
+    folded = unicodedata.normalize("NFC", text or "").casefold()
+    return re.sub(f"[{WHITE}]+", " ", folded).strip(" ")
 
 
 def plain_digest(text):
@@ -291,22 +508,51 @@ def test_normal_form_c(spark):
     assert all(r["n"] == unicodedata.normalize("NFC", r["text"]) for r in got)
 
 
-def test_next_row_and_digests(spark, odd_rows):
+def test_case_folding(spark):
+    """Every character that Python's Unicode data folds, and words whose forms differ in case only."""
+    points = [p for p in range(0x20, 0x20000) if not 0xD800 <= p < 0xE000 and chr(p).casefold() != chr(p)]
+    rows = [("".join(f"a{chr(p)}b " for p in points[i : i + 40]),) for i in range(0, len(points), 40)]
+    rows += [("ſa",), ("ﬁx",), ("ŉ",), ("Maße ΣΊΣΥΦΟΣ İstanbul ǰ ᾳ",)]
+    got = spark.createDataFrame(rows, "text string").select("text", fingerprint.folded(F.col("text")).alias("f")).collect()
+    newer = [(a, b) for r in got for a, b in zip(r["text"].split(), r["f"].split(), strict=True) if b != a.casefold()]
+    assert len(newer) <= 5, newer  # letters that only one side's Unicode data has
+    alike = spark.createDataFrame([("ſa ﬁx ŉ",), ("SA FIX ʼN",)], "text string").select(fingerprint.digest(fingerprint.canonical(F.col("text")))).collect()
+    assert alike[0] == alike[1]
+
+
+@pytest.mark.parametrize("range_chars", [fingerprint.RANGE_CHARS, 50])
+def test_next_row_and_digests(spark, odd_rows, range_chars):
     rng = random.Random(9)
     rows = [(i * 3 - 50, prose(rng, rng.randrange(30)) if i % 7 else None) for i in range(60)] + [(500, "Stra\u00dfe  E\u0301"), (501, "strasse é")]
     docs = frame(spark, rows)
-    got = {r["doc_id"]: r for r in fingerprint.with_next(docs, "doc_id", "text", buckets=5).collect()}
+    got = {r["doc_id"]: r for r in fingerprint.with_next(docs, range_chars=range_chars).collect()}
     ordered = sorted(rows)
     for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
         assert got[i]["fingerprint"] == plain_digest(text) and got[i]["next_text"] == (after or "") and got[i]["next_fingerprint"] == plain_digest(after)
     assert got[500]["fingerprint"] == got[501]["fingerprint"]
-    odd = fingerprint.with_next(frame(spark, [r[:2] for r in odd_rows]), "doc_id", "text", buckets=4).collect()
+    odd = fingerprint.with_next(frame(spark, [r[:2] for r in odd_rows]), range_chars=range_chars).collect()
     assert len(odd) == len(odd_rows) and all(r["next_fingerprint"] == plain_digest(r["next_text"]) for r in odd)
-    assert fingerprint.with_next(frame(spark, []), "doc_id", "text").count() == 0
-    alone = fingerprint.with_next(frame(spark, [(1, "a")]), "doc_id", "text").collect()
+    assert fingerprint.with_next(frame(spark, [])).count() == 0
+    alone = fingerprint.with_next(frame(spark, [(1, "a")])).collect()
     assert [(r["text"], r["next_text"]) for r in alone] == [("a", "a")]
 
 
+def test_next_row_of_very_many_rows_of_one_id(spark):
+    """Half the rows have one id, others none; they are dealt into several ranges and still follow each other in one ring."""
+    rng = random.Random(19)
+    rows = [(7 if i % 2 else None if i % 4 else i, f"text {i} " + prose(rng, 5)) for i in range(400)]
+    docs = frame(spark, rows)
+    buckets = docs.select(fingerprint._ranges(docs, "doc_id", "text", 200).alias("b"), "doc_id").groupBy("doc_id").agg(F.countDistinct("b").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in buckets}[7] > 5 and {r["doc_id"]: r["n"] for r in buckets}[None] > 5
+    got = {r["text"]: r for r in fingerprint.with_next(docs, range_chars=200).collect()}
+    assert len(got) == 400
+    ring, at = [], rows[0][1]
+    for _ in range(400):
+        ring.append(got[at]["doc_id"])
+        at = got[at]["next_text"]
+    assert at == rows[0][1] and ring == sorted(ring, key=lambda i: (i is None, i or 0))
+
+
 def test_exact_groups(spark, odd_rows):
     rows = [r[:2] for r in odd_rows]
     got = fingerprint.exact_groups(frame(spark, rows)).collect()
@@ -317,17 +563,42 @@ def test_exact_groups(spark, odd_rows):
     assert sorted(((r["doc_id"], r["group_id"], r["group_size"]) for r in got), key=str) == sorted(want, key=str)
 
 
-def test_fingerprint_query_groups(spark, odd_rows, tmp_path):
-    rows = [r[:2] for r in odd_rows]
-    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["op7_fingerprint"](spark, str(tmp_path)).collect()
+def test_digests_that_collide(spark, monkeypatch):
+    """With a digest of four values, buckets hold different texts and are split by comparing them."""
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: (F.length(canon) % 4).cast("string"))
+    rows = [(i, f"text  number {i % 9}".upper() if i % 2 else f"Text number {i % 9}") for i in range(60)] + [(None, None), (99, " "), (70, "a"), (71, "bbbbb")]
+    got = fingerprint.exact_groups(frame(spark, rows)).collect()
     want = []
     for i, t in rows:
-        group = [j for j, u in rows if plain_canonical(u or "") == plain_canonical(t or "")]
+        group = [j for j, u in rows if plain_canonical(u) == plain_canonical(t)]
         want.append((i, min((j for j in group if j is not None), default=None), len(group)))
     assert sorted(((r["doc_id"], r["group_id"], r["group_size"]) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_fingerprint_query(spark, odd_rows, tmp_path):
+    """All columns, against the definition over rows in order; rows of one id in any order."""
+    rng = random.Random(29)
+    rows = [r[:2] for r in odd_rows] + [(100 + i, prose(rng, rng.randrange(60))) for i in range(40)] + [(200 + i, "Same  Text É" if i % 2 else "same text e\u0301") for i in range(6)]
+    rows += [(300, "ab\u00df"), (301, "x"), (302, "abcd"), (303, "D" + prose(rng, 9))]
+    rows = [r for i, r in enumerate(rows) if r[0] is not None or i == 0]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["op7_fingerprint"](spark, str(tmp_path)).collect()), key=str)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = []
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        text, after = text or "", after or ""
+        k = len(text) // 4
+        edited = text[: len(text) - k] + after[:k]
+        group = [j for j, u in rows if plain_canonical(u) == plain_canonical(text)]
+        alike = lambda other: float(plain_canonical(text) == plain_canonical(other))  # noqa: B023, E731
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), plain_digest(text), plain_digest(edited), alike(edited), alike(after),
+                     min((j for j in group if j is not None), default=None), len(group)))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "group_size"]
+    assert QUERIES["op7_fingerprint"](spark, str(tmp_path)).columns[:7] == names[:7]
+    assert sorted(want, key=str) == sorted(((*g[:7], *g[7:]) for g in got), key=str)
+    assert sum(w[6] for w in want) >= 5 and sum(w[5] for w in want) >= 1
+
+
 # ---- 8: repeated passages
 
 
@@ -522,6 +793,24 @@ def test_links_join_what_pairs_join(spark, part):
         assert groups(lambda c: roots.get(c, c)) == groups(want.get)
 
 
+def test_a_hot_node_is_cut_by_further_bits(spark):
+    """Thousands of codes that share 16 bits: each is dealt out a bounded number of times, and no link is lost."""
+    rng = random.Random(17)
+    base = rng.getrandbits(16) << 48
+    codes = {base | rng.getrandbits(48) for _ in range(3000)}
+    for c in list(codes)[:300]:
+        codes.add(c ^ 1 << rng.randrange(48) ^ 1 << rng.randrange(48))
+    frame_ = spark.createDataFrame([(c - 2**64 if c >= 2**63 else c,) for c in codes], "fp bigint")
+    edges = simhash.link(frame_, 4, part=64)
+    linked = sorted((max(a, b), min(a, b)) for a, b in combinations(sorted(codes), 2) if (a ^ b).bit_count() <= 3)
+    roots = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(edges).collect()}
+    assert len(linked) >= 200 and all(roots.get(a, a) == roots.get(b, b) for a, b in linked)
+    assert {*roots, *roots.values()} == {c for pair in linked for c in pair}
+    for mask in simhash.top_masks(4):
+        for finer in simhash.finer_masks(mask):
+            assert mask & finer == mask and (finer % 2**64).bit_count() > (mask % 2**64).bit_count()
+
+
 def test_gray_index_finds_all_pairs():
     rng = np.random.default_rng(14)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
