@@ -1,6 +1,6 @@
 """License scans by diagonal voting, by DataFrame functions alone.
 
-Templates are short texts of license notices. All rolling word k-grams of the
+Templates are license notices, short ones and the texts that files carry. All rolling word k-grams of the
 documents are joined to the positions at which the templates hold them (the
 templates are a small fixed table, so the join is a broadcast and the k-grams
 are never shuffled); the words themselves are compared too, so that a hash
@@ -50,6 +50,47 @@ NOTICES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", False),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", False),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", False),
+    Template("mit", """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal
+        in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies
+        of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any
+        kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no
+        event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+        arising from out of or in connection with the software or the use or other dealings in the software""", False),
+    Template("bsd", """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary
+        form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials
+        provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties
+        including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the
+        copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to
+        procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether
+        in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+        possibility of such damage""", False),
+    Template("isc", """
+        permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright
+        notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this
+        software including all implied warranties of merchantability and fitness""", False),
+    Template("apache-2.0", """
+        you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0
+        unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties
+        or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the
+        license""", False),
+    Template("gpl", """
+        you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version
+        3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without
+        even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details""", False),
+    Template("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", False),
+    Template("unlicense", """
+        this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+        software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means""", False),
+    Template("zlib", """
+        in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software
+        for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions""", False),
+    Template("bsl-1.0", """
+        permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by
+        this license the software to use reproduce display distribute execute and transmit the software""", False),
 )
 
 
