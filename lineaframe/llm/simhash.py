@@ -17,7 +17,7 @@ large-star and small-star rounds over written tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -32,8 +32,9 @@ from lineaframe.storage import forget, keep, ship
 MOST_BITS = 3
 SHINGLE = 3
 SEED = 42
-#: Members of a node compared by one task; larger nodes are dealt out as pairs of such parts.
+#: Members of a node compared by one task; larger nodes are cut by further bits, and how many times.
 PART = 1024
+DEEPER = 3
 #: Most members of a node, on the average, before the bits are cut into more blocks.
 NODE_MEAN = 64
 _FAN = 16
@@ -172,7 +173,7 @@ def local_components(codes: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
 
 def _edges_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by task; emits edges to the smallest member of each local component."""
-    names = ["choice", "pattern", "a", "b"]
+    names = ["mask", "pattern", "a", "b"]
     rest = pd.DataFrame()
     for batch in _and_last(batches):
         if batch is None:
@@ -230,32 +231,52 @@ def n_blocks(distinct: int, most: int = MOST_BITS) -> int:
     return blocks
 
 
+def finer_masks(mask: int, most: int = MOST_BITS) -> list[int]:
+    """``mask`` with each of ``most + 1`` blocks of the bits it leaves out: codes that link agree on one of them."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    cuts = [round(len(left) * i / (most + 1)) for i in range(most + 2)]
+    finer = {mask | sum(1 << b for b in left[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)}
+    return sorted(m - (1 << 64) if m >= 1 << 63 else m for m in (m % (1 << 64) for m in finer))
+
+
 def link(codes: DataFrame, blocks: int | None = None, part: int = PART) -> DataFrame:
     """Edges ``(u, v)``, ``u > v``, that join the same codes as all links do.
 
     ``codes`` has distinct non-null bigints in ``fp``. A top node with more than
-    ``part`` members is dealt out as all pairs of its parts, so no task holds
-    more than two of them, however large the node is.
+    ``part`` members is cut by the bits that its pattern leaves open, as the
+    whole was, which deals each member out four times, and so on ``DEEPER``
+    times. Only what is larger still, codes that differ in few of the last bits,
+    is dealt out as pairs of parts; so no task holds more than two parts.
     """
     ship(codes.sparkSession)
-    masks = top_masks(blocks or n_blocks(codes.count()))
-    patterns = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
-    rows = codes.select("fp", F.posexplode(patterns).alias("choice", "pattern"))
-    sizes = rows.groupBy("choice", "pattern").count().where(F.col("count") > 1)
-    large = keep(sizes.where(F.col("count") > part), "simhash-large")
-    parts = F.lit(1)
-    if not large.isEmpty():
-        rows = rows.join(large, ["choice", "pattern"], "left")
-        parts = F.coalesce(F.ceil(F.col("count") / part).cast("int"), F.lit(1))
+    node = ["mask", "pattern"]
+    at = lambda rows: rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
+    masks = list(top_masks(blocks or n_blocks(codes.count())))
+    rows = at(codes.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")))
+    settled: list[DataFrame] = []
+    for depth in range(DEEPER + 1):
+        large = keep(rows.groupBy(*node).count().where(F.col("count") > part), "simhash-large")
+        if large.isEmpty():
+            settled.append(rows.withColumn("parts", F.lit(1)))
+            break
+        settled.append(rows.join(large, node, "left_anti").withColumn("parts", F.lit(1)))
+        hot = rows.join(large, node)
+        if depth == DEEPER:
+            settled.append(hot.select(*node, "fp", F.ceil(F.col("count") / part).cast("int").alias("parts")))
+            break
+        finer = {m: finer_masks(m) for m in masks}
+        below = F.create_map(*[x for m, fs in finer.items() for x in (F.lit(m), F.array(*[F.lit(f) for f in fs]))])
+        rows = keep(at(hot.select("fp", F.explode(below[F.col("mask")]).alias("mask"))).distinct(), "simhash-finer")
+        masks = sorted({f for fs in finer.values() for f in fs})
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
-        rows.withColumn("parts", parts)
+        reduce(DataFrame.union, [r.select(*node, "fp", "parts") for r in settled])
         .withColumn("mine", mine)
         .withColumn("other", others)
-        .select("choice", "pattern", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp")
-        .repartition("choice", "pattern", "a", "b")
-        .sortWithinPartitions("choice", "pattern", "a", "b")
+        .select(*node, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp")
+        .repartition(*node, "a", "b")
+        .sortWithinPartitions(*node, "a", "b")
     )
     return dealt.mapInPandas(_edges_of, "u bigint, v bigint").distinct()
 
