@@ -225,9 +225,9 @@ class Engine:
             return answer | {"dropped": {"step": 0, "sentence": sentences[0], "reason": {"kind": "excluded"}}}
         path: list[dict] = []
         frames = lineage.forward_path([source_row])
-        for step, rows in frames:
-            place = lineage.place(step, rows)
-            if place is None:
+        places = lineage.places([source_row], frames)
+        for step, _ in frames:
+            if step not in places:
                 op = plan.steps[step]
                 reason: dict = {"kind": "other"}
                 if isinstance(op, Filter):
@@ -236,7 +236,7 @@ class Engine:
                 elif isinstance(op, Limit):
                     reason = {"kind": "limit", "position": path[-1]["row"], "count": str(op.count)}
                 return answer | {"path": path, "dropped": {"step": step, "sentence": sentences[step], "reason": reason}}
-            path.append({"step": step, "row": place})
+            path.append({"step": step, "row": places[step]})
         return answer | {"reaches_output": True, "output_row": path[-1]["row"], "path": path}
 
     def source_records(self, snapshot: str, rows: Iterable[int]) -> dict:
@@ -281,7 +281,7 @@ class Engine:
             "column": column,
             "current": _number(found.current),
             "exact": found.exact,
-            "contributing_rows": found.rows.count(),
+            "contributing_rows": found.count,
             "rows_that_change_it": found.changing(),
             "ms": _ms(began),
             "top": [

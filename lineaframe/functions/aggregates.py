@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from lineaframe.plans.types import Kind
 
 #: Aggregates that need the values of a group in order.
 ORDERED = frozenset(("median", "percentile"))
+#: Relative error of the quantile sketches that bracket order statistics; the statistics themselves are exact.
+SKETCH = 10_000
 
 
 def exact_total(c: Column) -> Column:
@@ -78,27 +83,59 @@ def simple(agg: Agg, c: Column | None, kind: Kind | None, position: Column | Non
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence[tuple[str, Agg]]) -> DataFrame:
-    """Medians and percentiles of ``value`` for groups of any size.
-
-    Equal values are counted first, combined before the shuffle; then running
-    counts over the sorted distinct values find each rank. Nothing is gathered:
-    a group is sorted with spilling, never held in memory. Returns the key
-    columns and one column for each of ``wanted``.
+    """Medians and percentiles of ``value`` for groups of any size, without keys too.
+
+    A quantile sketch of each group, combined before the shuffle, brackets every
+    wanted rank. Values inside a bracket are counted by value, those below only
+    by bracket, also combined before the shuffle; then running counts over the
+    values of a bracket find the rank. So the task that sorts a group sees a few
+    of every ``SKETCH`` rows, however many there are. Returns the key columns and
+    one column for each of ``wanted``; groups without a value are left out.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*keys)
-    upto = F.sum("__n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__upto", upto).withColumn("__total", F.sum("__n").over(group))
-    below, n = F.col("__upto") - F.col("__n"), F.col("__total")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((below < rank) & (rank <= F.col("__upto")), F.col(value)))
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    slack = 2 / SKETCH
+    centres = [(agg.p or 50) / 100 for _, agg in wanted]
+    ends = [min(1.0, max(0.0, c + d)) for c in centres for d in (-slack, slack)]
+    sketch = present.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", ends, SKETCH).alias("__q"), F.min("__v").alias("__least"), F.max("__v").alias("__most")
+    )
+    if keys:
+        renamed = sketch.select(*[F.col(k).alias(f"__{k}") for k in keys], "__n", "__q", "__least", "__most")
+        bounded = present.join(renamed, reduce(and_, [present[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]))
+    else:
+        one = sketch.first()
+        if one is None or not one["__n"]:
+            return sketch.select(*[F.lit(None).cast("double").alias(n) for n, _ in wanted]).where("false")
+        kind = present.schema["__v"].dataType
+        shown = lambda x: F.lit(x.isoformat(sep=" ") if isinstance(x, dt.datetime) else x).cast(kind)
+        bounded = present.select(
+            "*", F.lit(one["__n"]).alias("__n"), F.array(*[shown(x) for x in one["__q"]]).alias("__q"), shown(one["__least"]).alias("__least"), shown(one["__most"]).alias("__most")
+        )
+    # a rank near an end of the group is bracketed by the least or greatest value; ranks are off by one at most from n times the centre
+    low = [F.when(F.col("__n") * (c - slack) <= 2, F.col("__least")).otherwise(F.get("__q", F.lit(2 * i))) for i, c in enumerate(centres)]
+    high = [F.when(F.col("__n") * (1 - c - slack) <= 2, F.col("__most")).otherwise(F.get("__q", F.lit(2 * i + 1))) for i, c in enumerate(centres)]
+    v = F.col("__v")
+    inside = [v.between(lo, hi) for lo, hi in zip(low, high, strict=True)]
+    marked = bounded.select(
+        *keys, "__n", F.array(*[v < lo for lo in low]).alias("__below"), F.array(*inside).alias("__inside"), F.when(reduce(or_, inside), v).alias("__v")
+    )
+    counted = marked.groupBy(*keys, "__n", "__below", "__inside", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    in_order = group.orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    n, columns = F.col("__n"), []
+    ranked = counted
+    for i, (name, agg) in enumerate(wanted):
+        here = F.when(F.get("__inside", F.lit(i)), F.col("__k")).otherwise(0)
+        below = F.sum(F.when(F.get("__below", F.lit(i)), F.col("__k")).otherwise(0)).over(group)
+        upto = below + F.sum(here).over(in_order)
+        ranked = ranked.withColumn(f"__upto{i}", upto).withColumn(f"__from{i}", upto - here)
+
+        def at(rank: Column, i: int = i) -> Column:
+            found = F.max(F.when((F.col(f"__from{i}") < rank) & (rank <= F.col(f"__upto{i}")), F.col("__v")))
+            return F.coalesce(found, F.raise_error(F.lit("the quantile sketch missed a rank")).cast(present.schema["__v"].dataType))
 
-    columns = []
-    for name, agg in wanted:
         if agg.fn == "percentile":
             columns.append(at(_whole(n * agg.p + 99, 100)).alias(name))
         else:
-            lo, hi = at(_whole(n + 1, 2)).cast("double"), at(_whole(n, 2) + 1).cast("double")
-            columns.append(halfway(lo, hi).alias(name))
+            columns.append(halfway(at(_whole(n + 1, 2)).cast("double"), at(_whole(n, 2) + 1).cast("double")).alias(name))
     return ranked.groupBy(*keys).agg(*columns)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from lineaframe.sources.tables import RID
 
 #: Relative error of the quantile sketch that brackets an order statistic; the statistic itself is exact.
 SKETCH = 10_000
+#: Values that one task sorts without a sketch.
+SORTED_AT_ONCE = 100_000
 
 
 class Refused(Exception):
@@ -97,6 +101,7 @@ class Contributions:
     current: object
     exact: bool
     rows: DataFrame
+    count: int
 
     def ranked(self, top: int) -> DataFrame:
         """Rows by how far the cell moves without them, then by row number; a value that comes or goes moves furthest."""
@@ -121,24 +126,24 @@ def order_values(rows: DataFrame, name: str, ranks: list[int], n: int) -> list[o
     """Values at 0-based ranks of the ``n`` present values of a column, exactly; None for ranks that don't exist.
 
     Equal values are counted, and running counts over the sorted distinct values
-    find the ranks. In a group of more than ``SKETCH ** 2`` values a quantile
-    sketch brackets the ranks first and only values inside the bracket are
-    sorted, so a task sees a few of every ``SKETCH`` rows however many there are.
+    find the ranks. Of more than ``SORTED_AT_ONCE`` values a quantile sketch
+    brackets the ranks first and only values inside the bracket are sorted, so
+    the task that sorts sees a few of every ``SKETCH`` rows.
     """
     real = sorted({r for r in ranks if 0 <= r < n})
     if not real:
         return [None] * len(ranks)
-    present, below = rows.where(F.col(name).isNotNull()), 0
-    if n > SKETCH**2:
+    present = rows.where(F.col(name).isNotNull())
+    if n > SORTED_AT_ONCE:
         kind, slack = rows.schema[name].dataType, 2 / SKETCH
         lo, hi = max(0.0, real[0] / n - slack), min(1.0, (real[-1] + 1) / n + slack)
         bounds = present.agg(F.percentile_approx(name, [lo, hi], SKETCH).alias("b"), F.min(name).alias("least"), F.max(name).alias("most")).first()
         low = known(bounds["least"] if lo == 0.0 else bounds["b"][0], kind)
         high = known(bounds["most"] if hi == 1.0 else bounds["b"][1], kind)
-        below = present.where(F.col(name) < low).count()
-        present = present.where(F.col(name).between(low, high))
+        # what lies below the bracket is counted as one missing value, which comes first
+        present = present.where(F.col(name) <= high).withColumn(name, F.when(F.col(name) >= low, F.col(name)))
     counted = present.groupBy(name).agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)) + below
+    upto = F.sum("k").over(Window.orderBy(F.col(name).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.select(name, upto.alias("upto"), "k")
     at = lambda r: F.max(F.when((F.col("upto") - F.col("k") <= r) & (F.col("upto") > r), F.col(name)))
     found = ranked.agg(*[at(r).alias(f"r{r}") for r in real]).first()
@@ -164,12 +169,11 @@ def contributions(base: Execution, row: int, column: str) -> Contributions:
     spec = next((a for a in step.aggregates if a.name == column), None)
     if spec is None:
         raise Refused(f'"{column}" is not an aggregate of step {number}')
-    lineage = Lineage(base)
-    trace = dict(lineage.backward_row(base.plan.output, row).path)
-    group, members = trace[number], lineage.table(step.input)
-    rows = members.matching(trace[step.input])
     whole = base.steps[number]
-    current = whole.matching(group).select(F.col(whole.columns[column]).alias("v")).first()["v"]
+    cell = whole.columns[column]
+    trace = Lineage(base).backward_row(base.plan.output, row, cell)  # steps after the aggregate keep its columns
+    current = trace.values[cell]
+    rows = _members(base, step.input, whole, trace.values)
     source = base.steps[step.input]
     kind = source.schema.find(spec.column).kind if spec.column else None
     x = F.col(source.columns[spec.column]) if spec.column else None
@@ -179,7 +183,14 @@ def contributions(base: Execution, row: int, column: str) -> Contributions:
     without, exact = _without(spec, kind, x, rows, facts, current)
     gone = F.lit(bool(step.group_by) and facts["rows"] == 1)
     out = rows.select(F.col(RID).alias("source_row"), without.alias("without"), gone.alias("removes_group"))
-    return Contributions(number, column, current, exact, out)
+    return Contributions(number, column, current, exact, out, facts["rows"])
+
+
+def _members(base: Execution, number: int, whole: StepTable, values: Mapping[str, object]) -> DataFrame:
+    """All columns of the rows of step ``number`` that are in the group with these key values."""
+    table = Lineage(base).table(number)
+    keys = whole.identity
+    return table.df.where(reduce(and_, [F.col(k).eqNullSafe(known(values[k], table.df.schema[k].dataType)) for k in keys])) if keys else table.df
 
 
 def _without(spec: Agg, kind: Kind | None, x: Column | None, rows: DataFrame, facts: Row, current: object) -> tuple[Column, bool]:

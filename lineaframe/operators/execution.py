@@ -31,8 +31,9 @@ from lineaframe.sources.tables import RID, Table, number_rows
 MAX_LIMIT = 2**31 - 1
 #: Row numbers up to this many are excluded by a list in the filter, more by an anti-join.
 INLINE_ROWS = 1000
-#: Estimated input above which medians and percentiles are found by counting values, not by gathering groups.
-GATHER_BYTES = 4 << 30
+#: Estimated input above which medians and percentiles are found by brackets, not by gathering groups; a group, which
+#: may be the whole input, is held by one task up to it.
+GATHER_BYTES = 128 << 20
 
 
 def known(value: object, kind: DataType) -> Column:

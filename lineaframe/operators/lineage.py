@@ -2,16 +2,20 @@
 
 Nothing is recorded while a plan runs. Up to the first aggregate a row is known
 by its row number, beyond it by its group's keys; so to go back over an
-aggregate is a null-safe semi-join of its input on the keys, and all other
-steps keep what identifies a row. Rows are DataFrames of identity columns;
-groups are never gathered into lists.
+aggregate is a null-safe semi-join of its input on the keys, or a filter that
+reaches the scan where the keys are those of one row, and all other steps keep
+what identifies a row. Rows are DataFrames of identity columns; groups are never
+gathered into lists. A question takes one job to find the row it is about, and
+one to answer.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +30,11 @@ REMEMBERED = 256
 
 @dataclass(frozen=True)
 class Trace:
-    """Rows at every step from the one asked about down to the scan."""
+    """Rows at every step from the one asked about down to the scan; ``single`` holds the steps at which they are one row."""
 
     path: list[tuple[int, DataFrame]]
+    single: frozenset[int] = frozenset()
+    values: Mapping[str, object] = field(default_factory=dict)
 
     @property
     def source(self) -> DataFrame:
@@ -36,7 +42,12 @@ class Trace:
         return self.path[-1][1]
 
     def counts(self) -> list[tuple[int, int]]:
-        return [(step, rows.count()) for step, rows in self.path]
+        """Rows of every step, in one job; steps that share their rows are counted once."""
+        frames = {id(rows): rows for step, rows in self.path if step not in self.single}
+        counted = [rows.agg(F.count(F.lit(1)).alias("n")).withColumn("frame", F.lit(i)) for i, rows in enumerate(frames.values())]
+        found = {r["frame"]: r["n"] for r in reduce(DataFrame.union, counted).collect()} if counted else {}
+        place = {key: i for i, key in enumerate(frames)}
+        return [(step, 1 if step in self.single else found[place[id(rows)]]) for step, rows in self.path]
 
 
 class Lineage:
@@ -44,7 +55,7 @@ class Lineage:
 
     def __init__(self, execution: Execution) -> None:
         self.execution = execution
-        self._remembered: OrderedDict[tuple[int, int], Trace] = OrderedDict()
+        self._remembered: OrderedDict[tuple, Trace] = OrderedDict()
 
     def table(self, step: int) -> StepTable:
         """The step's table without rows that a counterfactual has excluded.
@@ -58,25 +69,29 @@ class Lineage:
             return StepTable(df, found.schema, found.columns, found.order, found.identity)
         return found
 
-    def nth(self, step: int, row: int) -> dict | None:
-        """Identity and order columns of the row at a place of a step; None past its end."""
+    def nth(self, step: int, row: int, *more: str) -> dict | None:
+        """Identity and order columns (and ``more``) of the row at a place of a step; None past its end."""
         table = self.execution.steps[step]
-        names = list(dict.fromkeys([*table.identity, *(c for c, _ in table.order)]))
+        names = list(dict.fromkeys([*table.identity, *(c for c, _ in table.order), *more]))
         found = table.ordered().select(*[F.col(n) for n in names] or [F.lit(0).alias("one")]).offset(row).limit(1).collect()
         return found[0].asDict() if found else None
 
+    def found(self, step: int, row: int, *more: str) -> dict:
+        """The same; past the end is an error."""
+        values = self.nth(step, row, *more)
+        if values is None:
+            raise IndexError(f"row {row} is past the output" if step == self.execution.plan.output else f"row {row} is past step {step}")
+        return values
+
     def row(self, step: int, row: int) -> DataFrame:
         """One row of a step, by its place, as identities."""
-        table = self.execution.steps[step]
-        found = self.nth(step, row)
-        if found is None:
-            raise IndexError(f"row {row} is past the output" if step == self.execution.plan.output else f"row {row} is past step {step}")
-        if not table.identity:
-            return table.df.select()
-        same = [F.col(n).eqNullSafe(known(found[n], table.df.schema[n].dataType)) for n in table.identity]
-        for c in same[1:]:
-            same[0] &= c
-        return table.idents(table.df.where(same[0]))
+        return self._one(self.execution.steps[step], self.execution.steps[step].identity, self.found(step, row))
+
+    def _one(self, table: StepTable, keys: Sequence[str], values: Mapping[str, object]) -> DataFrame:
+        """Identities of the rows of ``table`` whose ``keys`` have these values."""
+        if not keys:
+            return table.idents()
+        return table.idents(table.df.where(reduce(and_, [F.col(n).eqNullSafe(known(values[n], table.df.schema[n].dataType)) for n in keys])))
 
     def place(self, step: int, rows: DataFrame) -> int | None:
         """Place of the first of ``rows`` in a step; None if there is none."""
@@ -88,26 +103,34 @@ class Lineage:
             return None
         return table.df.where(table.before(found.asDict())).count() if names else 0
 
-    def backward(self, step: int, rows: DataFrame) -> Trace:
-        """Rows at every step that stand behind ``rows`` of ``step``: all members of a group, also those without a value."""
-        path = [(step, rows)]
+    def backward(self, step: int, rows: DataFrame, values: Mapping[str, object] | None = None) -> Trace:
+        """Rows at every step that stand behind ``rows`` of ``step``: all members of a group, also those without a value.
+
+        ``values`` are the identity columns of ``rows``, where they are one row.
+        """
+        path, single = [(step, rows)], {step} if values is not None else set()
         while not isinstance(op := self.execution.plan.steps[step], Scan):
             source = self.table(op.input)
             if isinstance(op, Aggregate):
                 keys = self.execution.steps[step].identity
-                if keys:
-                    rows = source.idents(narrowed(source.df, rows.distinct(), keys))
+                if values is not None or not keys:
+                    rows, values = self._one(source, keys, values or {}), None
                 else:
-                    rows = source.idents()
+                    rows = source.idents(narrowed(source.df, rows.distinct(), keys))
             step = op.input
             path.append((step, rows))
-        return Trace(path)
+            if values is not None:
+                single.add(step)
+        return Trace(path, frozenset(single))
 
-    def backward_row(self, step: int, row: int) -> Trace:
-        """The trace of one row, by its place; the latest are remembered."""
-        key = (step, row)
+    def backward_row(self, step: int, row: int, *more: str) -> Trace:
+        """The trace of one row, by its place, with the values of its columns; the latest are remembered."""
+        key = (step, row, *more)
         if key not in self._remembered:
-            self._remembered[key] = self.backward(step, self.row(step, row))
+            values = self.found(step, row, *more)
+            table = self.execution.steps[step]
+            trace = self.backward(step, self._one(table, table.identity, values), values)
+            self._remembered[key] = replace(trace, values=values)
         self._remembered.move_to_end(key)
         if len(self._remembered) > REMEMBERED:
             self._remembered.popitem(last=False)
@@ -124,23 +147,48 @@ class Lineage:
         target = self.execution.plan.output if step is None else step
         listed = None if isinstance(rows, DataFrame) else sorted(set(rows))
         scan = self.table(0)
-        if listed is not None and len(listed) <= INLINE_ROWS:
-            found = scan.df.where(F.col(RID).isin(listed)).select(RID)
-        else:
-            found = scan.df.join(self.numbers(rows), RID, "left_semi").select(RID)
+        inline = listed is not None and len(listed) <= INLINE_ROWS
+        found = scan.df.where(F.col(RID).isin(listed)).select(RID) if inline else scan.df.join(self.numbers(rows), RID, "left_semi").select(RID)
         path = [(0, found)]
         for number in range(1, target + 1):
             op = self.execution.plan.steps[number]
             table = self.table(number)
-            if isinstance(op, Aggregate):
+            if inline and table.identity == (RID,):
+                found = table.df.where(F.col(RID).isin(listed)).select(RID)  # a filter, which reaches the scan
+            elif isinstance(op, Aggregate):
                 source = self.table(op.input)
-                reached = source.matching(found).select(*table.identity).distinct()
+                members = source.df.where(F.col(RID).isin(listed)) if inline and source.identity == (RID,) else source.matching(found)
+                reached = members.select(*table.identity).distinct()
                 found = reached if table.identity else table.df.where(F.lit(not found.isEmpty())).select()
             else:
                 found = table.idents(table.matching(found))
             path.append((number, found))
         return path
 
+    def places(self, rows: Sequence[int], path: Sequence[tuple[int, DataFrame]]) -> dict[int, int]:
+        """For each step of the path of some source rows, the place of its first row; steps without a row are left out.
+
+        Two jobs: the first rows of all steps, then how many rows come before each.
+        """
+        firsts = []
+        for step, found in path:
+            table = self.table(step)
+            names = list(dict.fromkeys(c for c, _ in table.order))
+            if table.identity == (RID,):
+                there = table.df.where(F.col(RID).isin(list(rows)))
+            else:  # the path of an aggregate holds its keys, which are its order
+                there = found if isinstance(self.execution.plan.steps[step], Aggregate) else table.matching(found)
+            if len(rows) > 1:
+                there = StepTable(there, table.schema, table.columns, table.order, table.identity).ordered().limit(1)
+            firsts.append(there.select(F.lit(step).alias("__step"), *names))
+        at = {r["__step"]: r.asDict() for r in reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), firsts).collect()}
+        before = []
+        for step, row in at.items():
+            table = self.execution.steps[step]
+            ahead = table.df.where(table.before(row)) if table.order else table.df.where("false")
+            before.append(ahead.agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(step)))
+        return {r["step"]: r["n"] for r in reduce(DataFrame.union, before).collect()} if before else {}
+
     def forward(self, rows: Iterable[int] | DataFrame, step: int | None = None) -> DataFrame:
         """Rows of ``step`` (the output) that the given source rows reach; dropped rows reach nothing."""
         return self.forward_path(rows, step)[-1][1]

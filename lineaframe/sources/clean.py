@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineaframe.plans.types import format_stamp
@@ -19,6 +19,8 @@ from lineaframe.sources.tables import RID, number_rows
 from lineaframe.storage import keep
 
 RULES_VERSION = 1
+#: Keys that repeat are broadcast up to this many.
+BROADCAST_KEYS = 1_000_000
 #: For each rule: what it does, whether each case is logged, and when it applies.
 RULES: dict[str, tuple[str, bool, str]] = {
     "CR-01": ("fail", False, "A field is missing or of another type: the build stops."),
@@ -95,9 +97,9 @@ def _raw_token(f: str) -> Column:
 def clean(records: DataFrame, spec: Dataset, scope: Scope) -> Cleaned:
     """Apply the rules to ``records`` (one column ``raw``).
 
-    Records of one key meet in one task, so a key with very many records is
-    only as parallel as its hash; keys are meant to be unique and at worst a few
-    records share one. Empty input gives empty tables.
+    Keys that repeat are found by counts, combined before the shuffle; only
+    their records are looked at together, and alike ones are counted, so a key
+    with very many records is as parallel as any. Empty input gives empty tables.
     """
     low, high = (F.lit(format_stamp(t).replace("T", " ")).cast("timestamp_ntz") for t in scope.bounds())
     parsed = _parsed(records, spec)
@@ -113,16 +115,26 @@ def clean(records: DataFrame, spec: Dataset, scope: Scope) -> Cleaned:
     same = F.sha2(F.concat_ws("\x1f", *[_raw_token(f) for f in spec.fields]).cast("binary"), 256)
     created = F.col(f"c{spec.columns.index(spec.column(Role.CREATED))}")
     staged = parsed.select("raw", key_text.alias("key_text"), key.alias("key"), same.alias("same"), F.sha2(F.col("raw").cast("binary"), 256).alias("print"), *columns, entries.alias("entries"))
-    with_key = Window.partitionBy("key")
-    alike = F.min("same").over(with_key) == F.max("same").over(with_key)
-    turn = F.row_number().over(with_key.orderBy("print", "raw"))
-    duplicate = F.when(F.count(F.lit(1)).over(with_key) == 1, F.lit(None)).when(~alike, "CR-04").when(turn > 1, "CR-03")
-    ruled = (
-        staged.where("key is not null")
-        .withColumn("duplicate", duplicate)
-        .withColumn("rule", F.coalesce("duplicate", F.when(created.isNull(), "CR-05").when((created < low) | (created >= high), "CR-12")))
+    keyed = staged.where("key is not null")
+    repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("n > 1")
+    repeated = keep(repeated.select("key", (F.col("lo") == F.col("hi")).alias("alike")), "repeated-keys")
+    if repeated.count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    names = ["raw", "key_text", "entries", *[f"c{i}" for i in range(len(spec.columns))]]
+    alone = keyed.join(repeated, "key", "left_anti").select("key", *names, F.lit(None).cast("string").alias("duplicate"))
+    several = keyed.join(repeated, "key")
+    differing = several.where("not alike").select("key", *names, F.lit("CR-04").alias("duplicate"))
+    # of alike records the one whose text has the least hash stays
+    rest = F.first(F.struct("key_text", "entries", *names[3:])).alias("rest")
+    alike = keep(several.where("alike").groupBy("key", "print", "raw").agg(F.count(F.lit(1)).alias("n"), rest), "alike-records")
+    kept_one = alike.groupBy("key").agg(F.min(F.struct("print", "raw")).alias("kept"))
+    turns = alike.join(kept_one, "key").withColumn("stays", F.struct("print", "raw") == F.col("kept"))
+    turns = turns.select("key", "raw", "rest.*", "stays", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("turn"))
+    same_again = turns.select("key", *names, F.when(~(F.col("stays") & (F.col("turn") == 1)), "CR-03").alias("duplicate"))
+    ruled = alone.union(differing).union(same_again).withColumn(
+        "rule", F.coalesce("duplicate", F.when(created.isNull(), "CR-05").when((created < low) | (created >= high), "CR-12"))
     )
-    ruled = keep(ruled.drop("same", "print", "duplicate"), "cleaned")
+    ruled = keep(ruled.drop("duplicate"), "cleaned")
     numbers = [f"c{i}" for i in range(len(spec.columns))]
     order = [f"c{spec.columns.index(spec.column(r))}" for r in (Role.CREATED, Role.KEY)]
     rows = number_rows(ruled.where("rule is null").select(*numbers, "entries"), order)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from lineaframe.sources.clean import RULES, RULES_VERSION, Cleaned, clean, known
 from lineaframe.sources.raw import RawDirectory, digest, open_raw
 from lineaframe.sources.spec import DATASETS, Dataset, Role, check_metadata
 from lineaframe.sources.tables import RID, Table
+from lineaframe.storage import ship
 
 FORMAT = "lineaframe-snapshot/1"
 CHUNK = 65_536
@@ -260,24 +261,41 @@ def open_snapshot(spark: SparkSession, path: str) -> tuple[str, Table, dict]:
     return manifest["snapshot_hash"], Table(SourceInfo(spec.title, spec.schema()), df, spec.source_id), manifest
 
 
+def _ipc_batches(batches: Iterator) -> Iterator:
+    """Each Arrow batch as the bytes of a stream."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_pydict({"batch": [sink.getvalue().to_pybytes()]})
+
+
 def export_arrow(spark: SparkSession, path: str, out: str) -> list[str]:
     """Write a snapshot's three tables as Arrow IPC files in a local folder, one record batch a chunk at most.
 
-    Rows come to the driver part by part, never all at once.
+    A table is read once and sorted by ranges; its rows come to the driver part
+    by part, never all at once.
     """
     import pyarrow as pa
 
+    ship(spark)
     written = []
     for name, order in (("data", "row_index"), ("cleaning_log", "log_index"), ("rejects", "reject_index")):
         df = spark.read.parquet(f"{path}/{name}")
-        n = df.count()
+        parts = df.repartitionByRange(-(-df.count() // CHUNK) or 1, order).sortWithinPartitions(order).mapInArrow(_ipc_batches, "batch binary")
         target = f"{out}/{name}.arrow"
         schema = df.limit(0).toArrow().schema
+        held = schema.empty_table()
         with pa.OSFile(target, "wb") as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-            for start in range(0, n, CHUNK):
-                part = df.where(F.col(order).between(start, start + CHUNK - 1)).orderBy(order).toArrow()
-                for batch in part.combine_chunks().to_batches():
-                    writer.write_batch(batch)
+            for row in parts.toLocalIterator():
+                held = pa.concat_tables([held, pa.ipc.open_stream(row["batch"]).read_all().cast(schema)])
+                while held.num_rows >= CHUNK:
+                    writer.write_table(held.slice(0, CHUNK).combine_chunks())
+                    held = held.slice(CHUNK)
+            if held.num_rows:
+                writer.write_table(held.combine_chunks())
         written.append(target)
     return written
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from lineaframe.storage import keep
 
 #: Name of the row number in every table and step; it never changes for a row.
 RID = "_rid"
+#: Names of files are broadcast up to this many.
+BROADCAST_FILES = 100_000
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,27 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = RID) -
     return numbered.drop("__range", "__place", "__before")
 
 
+def stored_numbers(df: DataFrame, name: str = RID) -> DataFrame | None:
+    """``df``, read from files, with a row number that a row has for as long as the files are there; None for other DataFrames.
+
+    The number is the place of the file among the sorted names, then the place
+    of the row in its file; how Spark splits the files doesn't matter.
+    """
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return None
+    n_files = len(df.inputFiles())
+    if n_files < 2:
+        return rows.withColumn(name, F.col("__row")).drop("__file", "__row")
+    if n_files > BROADCAST_FILES:
+        return number_rows(rows, ["__file", "__row"], name).drop("__file", "__row")
+    names = sorted(r[0] for r in rows.select("__file").distinct().collect())  # reads no column
+    places = df.sparkSession.createDataFrame(list(enumerate(names)), "__place bigint, __name string")
+    joined = rows.join(F.broadcast(places), F.col("__file") == F.col("__name"))
+    return joined.withColumn(name, F.shiftleft("__place", 40) + F.col("__row")).drop("__file", "__row", "__place", "__name")
+
+
 def from_dataframe(
     df: DataFrame, title: str, row_number: str | None = None, order: Sequence[str] = (), source_id: int = 0, as_stored: bool = False
 ) -> Table:
@@ -74,12 +98,15 @@ def from_dataframe(
 
     Rows are numbered by the unique integer column ``row_number``, or else
     densely in the order of the columns ``order`` (all columns, if empty).
-    ``as_stored`` numbers them as they lie in their files instead, with gaps,
-    which costs nothing and holds for as long as the files do.
+    ``as_stored`` numbers them as they lie in their files instead, with gaps
+    between files, which costs next to nothing and holds for as long as the
+    files do; a DataFrame that is no plain table of files is numbered densely.
     Integers widen to 64 bits, decimals that are not finite become missing.
     """
-    rows = df if row_number or as_stored else number_rows(df, order or df.columns)
-    number = F.monotonically_increasing_id() if as_stored else F.col(f"`{row_number or RID}`").cast("bigint")
+    rows = df if row_number else stored_numbers(df) if as_stored else None
+    if rows is None:
+        rows = number_rows(df, order or df.columns)
+    number = F.col(f"`{row_number or RID}`").cast("bigint")
     fields, columns = [], [number.alias(RID)]
     for f in df.schema.fields:
         kind = kind_of(f.dataType)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineaframe.engine import Engine
+from lineaframe.functions import aggregates
 from lineaframe.operators import counterfactual
 from lineaframe.operators.counterfactual import contributions, exclude
 from lineaframe.operators.execution import execute
@@ -329,10 +330,46 @@ def test_order_statistics_inside_a_bracket(spark, monkeypatch):
     expected = [want[r] if 0 <= r < 800 else None for r in ranks]
     assert counterfactual.order_values(rows, "v", ranks, 800) == expected
     monkeypatch.setattr(counterfactual, "SKETCH", 20)
+    monkeypatch.setattr(counterfactual, "SORTED_AT_ONCE", 100)
     for some in ([0, 1], [399, 400], [798, 799], [600]):
         assert counterfactual.order_values(rows, "v", some, 800) == [want[r] for r in some]
 
 
+@pytest.mark.parametrize("sketch", [40, 10_000])
+def test_statistics_of_a_hot_group(spark, monkeypatch, sketch):
+    """Most rows have one key; found by brackets, grouped and over all rows, they equal the gathered ones."""
+    monkeypatch.setattr(aggregates, "SKETCH", sketch)
+    rows = spark.range(6000, numPartitions=5).select(
+        F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") % 35 > 0, F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("s"),
+        F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 1009).alias("x"),
+        (F.col("id") * 104729 % 6007 / 7.0).alias("f"),
+        F.timestamp_add("SECOND", F.col("id") * 31 % 4001, F.lit("2024-01-01").cast("timestamp_ntz")).alias("t"),
+    )
+    table = from_dataframe(rows.withColumn("n", F.monotonically_increasing_id()), "rows", "n")
+    wanted = [Agg("n", "count")] + [Agg(f"{c}{p}", "percentile", c, p) for c in "xft" for p in (1, 37, 50, 99)] + [Agg("mx", "median", "x"), Agg("mf", "median", "f")]
+    for keys in (["s"], []):
+        plan = validate(Plan.scan(SNAP).aggregate(keys, *wanted), {SNAP: table.info})
+        gathered, bracketed = (execute(plan, table, gather_bytes=g).result().collect() for g in (1 << 40, 0))
+        assert sorted(map(tuple, gathered), key=repr) == sorted(map(tuple, bracketed), key=repr) and len(gathered) == (12 if keys else 1)
+
+
+def test_stored_rows_keep_their_numbers(spark, tmp_path):
+    """However Spark splits the files, and also where there is one."""
+    spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(4).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/four")
+    spark.range(3000).select(F.col("id").alias("v")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    for name in ("four", "one"):
+        found = []
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            table = from_dataframe(spark.read.parquet(f"{tmp_path}/{name}"), "t", as_stored=True)
+            found.append(sorted((r["c0"], r[RID]) for r in table.df.collect()))
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert found[0] == found[1] and len({n for _, n in found[0]}) == len(found[0])
+    assert found[0] == [(i, i) for i in range(3000)]
+    other = from_dataframe(spark.range(9).select((9 - F.col("id")).alias("v")), "t", as_stored=True)
+    assert sorted(tuple(r) for r in other.df.collect()) == [(i, i + 1) for i in range(9)]
+
+
 def test_rows_are_numbered_densely(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("A.b"))
     table = from_dataframe(df, "numbers", order=["v"])

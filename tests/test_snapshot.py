@@ -82,6 +82,51 @@ def test_every_rule(spark):
     assert future["KI-closed-in-future"] == 2
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_keys_with_very_many_records(spark, monkeypatch, most):
+    """Half the records have one key: alike ones leave one, differing ones none; also where keys are not broadcast."""
+    from lineaframe.sources import clean as cleaning
+
+    monkeypatch.setattr(cleaning, "BROADCAST_KEYS", most)
+    one = [{"unique_key": "7", "created_date": "2024-03-01T10:00:00.000", "channel": "x" * (i % 3)} for i in range(300)]
+    two = [{"unique_key": "8", "created_date": "2024-03-01T10:00:00.000", "status": "Open" if i == 5 else "Closed"} for i in range(300)]
+    rest = [{"unique_key": str(100 + i), "created_date": "2024-03-02T10:00:00.000"} for i in range(200)]
+    lines = [json.dumps(DEFAULTS | r) for r in one + two + rest]
+    done = clean(spark.createDataFrame([(t,) for t in lines], "raw string").repartition(7), NYC_311, SCOPE)
+    assert sorted(r["c0"] for r in done.rows.collect()) == [7, *range(100, 300)]
+    counts = done.rejects.groupBy("raw_unique_key", "rule_id").count().collect()
+    assert sorted(tuple(r) for r in counts) == [("7", "CR-03", 299), ("8", "CR-04", 300)]
+    assert sorted(r["raw_record"] for r in done.rejects.collect() if r["rule_id"] == "CR-04") == sorted(lines[300:600])
+
+
+def test_arrow_files_hold_whole_chunks(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(snapshot, "CHUNK", 3)
+    path, manifest = snapshot.build(spark, write_raw(tmp_path / "raw", texts(), 5), str(tmp_path / "out"))
+    (tmp_path / "arrow").mkdir()
+    data, _, rejects = snapshot.export_arrow(spark, path, str(tmp_path / "arrow"))
+    with pa.memory_map(data) as source:
+        reader = pa.ipc.open_file(source)
+        assert [reader.get_batch(i).num_rows for i in range(reader.num_record_batches)] == [3, 3, 1]
+    assert [r["row_index"] for r in snapshot.import_arrow(spark, data).collect()] == list(range(7))
+    assert snapshot.import_arrow(spark, rejects).count() == manifest["cleaning"]["rejected_rows"]
+
+
+def test_flattened_frames_equal_flattened_records(spark):
+    issues = [
+        {"id": 5, "created_at": "2024-01-01T05:00:00-05:00", "closed_at": "2024-02-30T05:00:00Z", "request_type": {"organization": "Peekskill, NY", "title": "Pot \"hole\" é"}, "status": "open", "address": "12345 Main, NY 10566 USA 123456", "lat": 41.25, "lng": -73},
+        {"id": "6", "created_at": "soon", "closed_at": None, "request_type": {"organization": "Greenburgh, NY", "title": None}, "summary": "Words", "status": True, "address": 5, "lat": None},
+        {"id": 7, "created_at": "2024-01-01T05:00:00", "request_type": {"organization": "Elsewhere"}}, {"id": 8, "request_type": {"organization": 4}}, {"id": 9, "request_type": None}, {"id": 10},
+        {"id": 11, "created_at": 3, "request_type": {"organization": "Public Works Issues", "title": 3}, "summary": 4, "address": "no code"},
+    ]
+    got = fetch.flattened(spark.createDataFrame([(json.dumps(i),) for i in issues], "raw string")).collect()
+    for row, issue in zip(got, issues, strict=True):
+        record, organization = fetch.flatten(issue)
+        assert row["organization"] == organization
+        assert (record and {k: v for k, v in record.items() if v is not None}) == (row["record"] and json.loads(row["record"]))
+
+
 def test_odd_values_stop_the_build(spark):
     for value in (True, [1], {"a": 1}):
         frame = spark.createDataFrame([(json.dumps(RECORDS[0] | {"agency": value}),)], "raw string")
