@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,44 @@ def exact_total(c: Column) -> Column:
     return F.sum(c.cast("decimal(38,0)"))
 
 
-def _row_order_sum(c: Column, position: Column) -> Column:
-    """Decimal sum in row order, bit for bit; gathers a group, so for groups that fit a task."""
-    ordered = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(position.alias("at"), c.alias("x")))))
-    return F.when(F.count(c) > 0, F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e["x"]))
+def encoded(keys: Sequence[str]) -> Column:
+    """Group keys as one text that tells any two groups apart."""
+    shown = [F.col(k).cast("string") for k in keys]
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in shown])
+
+
+def row_order_totals(df: DataFrame, keys: Sequence[str], position: str, totals: Mapping[str, str]) -> DataFrame:
+    """``__key`` (of :func:`encoded`) and decimal totals, each value added in the order of ``position``, bit for bit.
+
+    ``totals`` maps names to columns. A group is streamed through one task in
+    sorted order, batch by batch, and never held in memory; adding in a fixed
+    order can't be shared out.
+    """
+    names = list(totals)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, sums = None, np.zeros(len(names))
+        for batch in batches:
+            if not len(batch):
+                continue
+            changes = np.flatnonzero(batch["__key"].to_numpy()[1:] != batch["__key"].to_numpy()[:-1]) + 1
+            done = []
+            for lo, hi in zip([0, *changes], [*changes, len(batch)], strict=True):
+                if batch["__key"].iloc[lo] != key:
+                    if key is not None:
+                        done.append((key, *sums))
+                    key, sums = batch["__key"].iloc[lo], np.zeros(len(names))
+                for i, name in enumerate(names):
+                    values = batch[name].to_numpy()[lo:hi]
+                    # a running sum adds one value after the other
+                    sums[i] = np.cumsum(np.append(sums[i], values[~np.isnan(values)]))[-1]
+            yield pd.DataFrame(done, columns=["__key", *names])
+        if key is not None:
+            yield pd.DataFrame([(key, *sums)], columns=["__key", *names])
+
+    rows = df.select(encoded(keys).alias("__key"), F.col(position).alias("__at"), *[F.col(c).cast("double").alias(n) for n, c in totals.items()])
+    dealt = rows.repartition("__key") if keys else rows.repartition(1)
+    return dealt.sortWithinPartitions("__key", "__at").drop("__at").mapInPandas(added, "__key string, " + ", ".join(f"{n} double" for n in names))
 
 
 def _ranked(c: Column, pick: Callable[[Column], Column]) -> Column:
@@ -60,8 +96,8 @@ def _whole(a: Column, b: int) -> Column:
     return ((a - a % b) / b).cast("bigint")
 
 
-def simple(agg: Agg, c: Column | None, kind: Kind | None, position: Column | None = None) -> Column:
-    """The aggregate over a group. With ``position``, decimal totals add in that order."""
+def simple(agg: Agg, c: Column | None, kind: Kind | None) -> Column:
+    """The aggregate over a group; decimals add in any order."""
     match agg.fn:
         case "count":
             return F.count(F.lit(1))
@@ -78,8 +114,7 @@ def simple(agg: Agg, c: Column | None, kind: Kind | None, position: Column | Non
     if kind is Kind.INTEGER:
         total = exact_total(c)
         return total.cast("bigint") if agg.fn == "sum" else total.cast("double") / F.count(c)
-    total = F.sum(c) if position is None else _row_order_sum(c, position)
-    return finite(total if agg.fn == "sum" else total / F.count(c))
+    return finite(F.sum(c) if agg.fn == "sum" else F.sum(c) / F.count(c))
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence[tuple[str, Agg]]) -> DataFrame:

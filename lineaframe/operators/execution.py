@@ -26,6 +26,7 @@ from lineaframe.plans.expr import Call, Expr
 from lineaframe.plans.plan import Aggregate, Filter, Limit, Map, Project, Scan, Sort, ValidPlan
 from lineaframe.plans.types import INT_MAX, INT_MIN, Kind, Schema
 from lineaframe.sources.tables import RID, Table, number_rows
+from lineaframe.storage import ship
 
 #: Spark's largest row count for a limit; more rows than this are left as they are.
 MAX_LIMIT = 2**31 - 1
@@ -223,19 +224,21 @@ def aggregate_step(step: Aggregate, number: int, source: StepTable, schema: Sche
         return StepTable(source.df.select(*keys).distinct(), schema, columns, order, tuple(keys))
     size = int(source.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     gather = size <= gather_bytes
-    position = None
-    if exact_order:  # one number instead of several order columns, some of which may descend
-        source = replace(source, df=number_rows(source.df, source.order_columns(), "__at"))
-        position = F.col("__at")
-    simple, counted = [], {}
+    simple, counted, in_order = [], {}, {}
     for a in step.aggregates:
         if a.fn in agg_fns.ORDERED and not gather:
             counted.setdefault(a.column, []).append((made[a.name], a))
             continue
         c = F.col(source.columns[a.column]) if a.column else None
         kind = source.schema.find(a.column).kind if a.column else None
-        simple.append(agg_fns.simple(a, c, kind, position).alias(made[a.name]))
+        if exact_order and a.fn in ("sum", "mean") and kind is Kind.DECIMAL:
+            in_order[made[a.name]] = a
+            simple.append(F.count(c).alias(made[a.name]))
+        else:
+            simple.append(agg_fns.simple(a, c, kind).alias(made[a.name]))
     df = source.df.groupBy(*keys).agg(*(simple or [F.count(F.lit(1)).alias(f"s{number}_n")]))
+    if in_order:
+        df = _with_row_order_totals(df, source, keys, in_order)
     for column, wanted in counted.items():
         found = agg_fns.order_statistics(source.df, keys, source.columns[column], wanted)
         renamed = found.select(*[F.col(k).alias(f"__{k}") for k in keys], *[n for n, _ in wanted])
@@ -244,6 +247,18 @@ def aggregate_step(step: Aggregate, number: int, source: StepTable, schema: Sche
     return StepTable(df, schema, columns, order, tuple(keys))
 
 
+def _with_row_order_totals(df: DataFrame, source: StepTable, keys: list[str], wanted: Mapping[str, agg_fns.Agg]) -> DataFrame:
+    """``df`` with counts of present values replaced by totals or means that were added in row order."""
+    ship(df.sparkSession)
+    numbered = number_rows(source.df, source.order_columns(), "__at")  # one number instead of several order columns
+    found = agg_fns.row_order_totals(numbered, keys, "__at", {f"__{n}": source.columns[a.column] for n, a in wanted.items()})
+    df = df.withColumn("__group", agg_fns.encoded(keys)).join(found, F.col("__group") == F.col("__key"), "left")
+    for name, a in wanted.items():
+        total = F.col(f"__{name}") if a.fn == "sum" else F.col(f"__{name}") / F.col(name)
+        df = df.withColumn(name, agg_fns.finite(F.when(F.col(name) > 0, total)))
+    return df.drop("__group", "__key", *[f"__{n}" for n in wanted])
+
+
 def _apply(step: object, number: int, source: StepTable, schema: Schema, exact_order: bool, gather_bytes: int) -> StepTable:
     match step:
         case Filter(_, predicate):
@@ -285,8 +300,8 @@ def execute(
     """Compile a plan over the table its scan names.
 
     ``exact_order`` adds decimals in row order, so that totals are the same to
-    the last bit however the rows are spread; it gathers each group, so it is
-    for checks rather than for large data. Integer overflow is an error; as
+    the last bit however the rows are spread; a group then goes through one
+    task, so it is for checks rather than for speed. Integer overflow is an error; as
     Spark evaluates lazily, it shows where the value is read, or in
     :meth:`Execution.row_counts`, which evaluates all of it.
     """
