@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import redirect_stderr, redirect_stdout
 from dataclasses import asdict
+from io import StringIO
 from pathlib import Path
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +30,9 @@ from lineaframe.plans.expr import col, lit
 from lineaframe.plans.plan import Agg, Plan, validate
 from lineaframe.plans.planjson import canonical, plan_json, read_plan
 from lineaframe.plans.types import stamp
-from lineaframe.sources import raw, snapshot
+from lineaframe.sources import cli, raw, snapshot
 from lineaframe.sources.clean import Cleaned, clean, known_issues
-from lineaframe.sources.fetch import flattened, metadata_of, utc_text
+from lineaframe.sources.fetch import HttpError, Retry, fetch_seeclickfix, fetch_socrata, flattened, metadata_of, utc_text
 from lineaframe.sources.spec import NYC_311, WESTCHESTER, Drift, Scope, check_metadata
 from lineaframe.sources.tables import RID, Table, from_dataframe
 from lineaframe.storage import shared_dir
@@ -641,6 +645,66 @@ def _built(spark: SparkSession, records: DataFrame, page_rows: int) -> tuple[str
     return snapshot.build(spark, _raw_directory(spark, records, page_rows), out)
 
 
+def _new_folder(spark: SparkSession, name: str) -> Path:
+    return Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / f"{name}-{uuid.uuid4().hex}"
+
+
+def socrata_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a replayed portal, by row id, with a failing request; then the snapshot made of them."""
+    lines = sorted(r["raw"] for r in raw_requests(spark, sf_dir).toLocalIterator())
+    records = [{":id": f"row-{i:09}"} | json.loads(x) for i, x in enumerate(lines)]
+    failing = [HttpError(503), HttpError(None)]
+
+    def replay(url: str) -> bytes:
+        if failing:
+            raise failing.pop()
+        if "/api/views/" in url:
+            return json.dumps(metadata_of(NYC_311, _UPDATED)).encode()
+        asked = parse_qs(urlsplit(url).query)
+        after = re.search(r":id > 'row-([0-9]+)'", asked["$where"][0])
+        start = int(after[1]) + 1 if after else 0
+        return json.dumps(records[start : start + int(asked["$limit"][0])]).encode()
+
+    waits: list[float] = []
+    root = _new_folder(spark, "fetched")
+    record = fetch_socrata(NYC_311, SCOPE, replay, root, page_size=250, retry=Retry(sleep=waits.append))
+    _, manifest = snapshot.build(spark, str(root), str(_new_folder(spark, "snapshots")))
+    rows = [("records", record.raw_records), ("pages", len(record.pages)), ("waits", len(waits)), ("rows", manifest["rows"]), ("rejected", manifest["cleaning"]["rejected_rows"])]
+    return spark.createDataFrame(rows, "name string, n bigint")
+
+
+def seeclickfix_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of replayed requests, one page twice; then the snapshot made of them."""
+    found = [json.loads(r["raw"]) for r in issues(spark, sf_dir).orderBy(F.get_json_object("raw", "$.id").cast("bigint")).toLocalIterator()]
+    pages = [found[i : i + 100] for i in range(0, len(found), 100)]
+    pages.insert(1, pages[0])
+
+    def replay(url: str) -> bytes:
+        number = int(parse_qs(urlsplit(url).query)["page"][0])
+        return json.dumps({"issues": pages[number - 1], "metadata": {"pagination": {"next_page": number + 1 if number < len(pages) else None}}}).encode()
+
+    root = _new_folder(spark, "fetched")
+    record = fetch_seeclickfix(WESTCHESTER, Scope.dates("created_date", "2024-01-01", "2030-01-01"), replay, root, pause=0.0)
+    summary = json.loads((root / "source.json").read_text())
+    _, manifest = snapshot.build(spark, str(root), str(_new_folder(spark, "snapshots")))
+    rows = [("records", record.raw_records), ("duplicates", summary["duplicates"]), ("skipped", sum(summary["skipped_by_organization"].values())), ("rows", manifest["rows"])]
+    return spark.createDataFrame(rows, "name string, n bigint")
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the commands return: synthetic records, a snapshot of them, its verification, and a snapshot that isn't there."""
+    root, out = _new_folder(spark, "synthetic"), _new_folder(spark, "snapshots")
+
+    def status(*argv: str) -> int:
+        with redirect_stdout(StringIO()), redirect_stderr(StringIO()):
+            return cli.main(list(argv), spark=spark)
+
+    found = [("synth", status("synth", "--out", str(root), "--rows", "500")), ("build", status("build", str(root), "--out", str(out)))]
+    path = next(p for p in (out / "nyc311").iterdir() if not p.name.startswith("."))
+    found += [("verify", status("verify", str(path))), ("verify nothing", status("verify", str(out / "nothing")))]
+    return spark.createDataFrame(found, "command string, status bigint")
+
+
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built, verified, loaded and asked: closed requests and their mean hours by borough."""
     path, manifest = _built(spark, raw_requests(spark, sf_dir), 300)
@@ -842,6 +906,17 @@ SPECIAL: dict[str, tuple[Query, str]] = {
         clean_westchester,
         f"SELECT row_number() OVER (ORDER BY t0, d) - 1 AS row_index, d + 1 AS key, town, kind, CASE WHEN d % 4 <> 0 THEN CAST(t0 AS TIMESTAMP) END AS closed, d % 8 <> 0 AS placed FROM {_ISSUE} WHERE town IS NOT NULL",
     ),
+    "socrata_fetch": (
+        socrata_fetch,
+        f"""SELECT 'records' AS name, count(*) AS n FROM {_RECORDS} UNION ALL SELECT 'pages', count(*) // 250 + 1 FROM {_RECORDS} UNION ALL SELECT 'waits', 2
+  UNION ALL SELECT 'rows', count(*) FILTER (rule IS NULL) FROM {_JUDGED} UNION ALL SELECT 'rejected', count(*) FILTER (rule IS NOT NULL) FROM {_JUDGED}""",
+    ),
+    "seeclickfix_fetch": (
+        seeclickfix_fetch,
+        f"""SELECT 'records' AS name, count(*) FILTER (town IS NOT NULL) AS n FROM {_ISSUE} UNION ALL SELECT 'duplicates', least(count(*), 100) FROM {_ISSUE}
+  UNION ALL SELECT 'skipped', count(*) FILTER (town IS NULL) FROM {_ISSUE} UNION ALL SELECT 'rows', count(*) FILTER (town IS NOT NULL) FROM {_ISSUE}""",
+    ),
+    "command_line": (command_line, _values([("synth", 0), ("build", 0), ("verify", 0), ("verify nothing", 1)], "command", "status")),
     "snapshot_round_trip": (snapshot_round_trip, _ROUND_TRIP),
     "snapshot_manifest": (snapshot_manifest, _MANIFEST),
     "snapshot_hashes": (snapshot_hashes, _HASHES),

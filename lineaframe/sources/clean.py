@@ -115,10 +115,12 @@ def clean(records: DataFrame, spec: Dataset, scope: Scope) -> Cleaned:
     same = F.sha2(F.concat_ws("\x1f", *[_raw_token(f) for f in spec.fields]).cast("binary"), 256)
     created = F.col(f"c{spec.columns.index(spec.column(Role.CREATED))}")
     staged = parsed.select("raw", key_text.alias("key_text"), key.alias("key"), same.alias("same"), F.sha2(F.col("raw").cast("binary"), 256).alias("print"), *columns, entries.alias("entries"))
+    staged = keep(staged, "staged")  # parsed once
     keyed = staged.where("key is not null")
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("n > 1")
     repeated = keep(repeated.select("key", (F.col("lo") == F.col("hi")).alias("alike")), "repeated-keys")
-    if repeated.count() <= BROADCAST_KEYS:
+    n_repeated = repeated.count()
+    if n_repeated <= BROADCAST_KEYS:
         repeated = F.broadcast(repeated)
     names = ["raw", "key_text", "entries", *[f"c{i}" for i in range(len(spec.columns))]]
     alone = keyed.join(repeated, "key", "left_anti").select("key", *names, F.lit(None).cast("string").alias("duplicate"))
@@ -126,15 +128,15 @@ def clean(records: DataFrame, spec: Dataset, scope: Scope) -> Cleaned:
     differing = several.where("not alike").select("key", *names, F.lit("CR-04").alias("duplicate"))
     # of alike records the one whose text has the least hash stays
     rest = F.first(F.struct("key_text", "entries", *names[3:])).alias("rest")
-    alike = keep(several.where("alike").groupBy("key", "print", "raw").agg(F.count(F.lit(1)).alias("n"), rest), "alike-records")
+    alike = several.where("alike").groupBy("key", "print", "raw").agg(F.count(F.lit(1)).alias("n"), rest)
     kept_one = alike.groupBy("key").agg(F.min(F.struct("print", "raw")).alias("kept"))
     turns = alike.join(kept_one, "key").withColumn("stays", F.struct("print", "raw") == F.col("kept"))
     turns = turns.select("key", "raw", "rest.*", "stays", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("turn"))
     same_again = turns.select("key", *names, F.when(~(F.col("stays") & (F.col("turn") == 1)), "CR-03").alias("duplicate"))
-    ruled = alone.union(differing).union(same_again).withColumn(
+    judged = alone.union(differing).union(same_again) if n_repeated else alone
+    ruled = judged.withColumn(
         "rule", F.coalesce("duplicate", F.when(created.isNull(), "CR-05").when((created < low) | (created >= high), "CR-12"))
     )
-    ruled = keep(ruled.drop("duplicate"), "cleaned")
     numbers = [f"c{i}" for i in range(len(spec.columns))]
     order = [f"c{spec.columns.index(spec.column(r))}" for r in (Role.CREATED, Role.KEY)]
     rows = number_rows(ruled.where("rule is null").select(*numbers, "entries"), order)
