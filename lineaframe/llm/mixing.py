@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineaframe.llm.names import free_name
+from lineaframe.llm.pii import _let
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source table of up to this many rows is broadcast (about 100 bytes a row).
@@ -83,34 +86,53 @@ def mix(
     source is a source of its own and comes last; a null id draws like an empty
     one; repeated rows are documents of their own; an empty table gives no rows.
     A hot source costs nothing: sums are combined before the shuffle and the
-    documents are not shuffled by source.
+    documents are not shuffled by source. The water level is found by one task
+    over a row of about 100 bytes for each source: tens of millions of sources.
+    A column named ``into`` that ``docs`` has already is replaced.
     """
     size = n_words(F.col(text_col))
     sources = docs.select(F.col(source_col).alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    own_size, own_key, own_salt, found = (free_name(docs, f"__mix_{n}") for n in ("size", "key", "salt", "found"))
     per_source = water_fill(sources, weights, share, max_epochs).select(
-        key(F.col("source")).alias("__mix_key"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target")
+        key(F.col("source")).alias(own_key), F.struct(F.col("source_size").alias("size"), "target").alias(found)
     )
-    keyed = docs.withColumn("__mix_size", size).withColumn("__mix_key", key(F.col(source_col)))
+    keyed = docs.withColumn(own_size, size).withColumn(own_key, key(F.col(source_col)))
     if docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(per_source), "__mix_key")
+        joined = keyed.join(F.broadcast(per_source), own_key)
     else:
-        salt = F.pmod(F.xxhash64(id_col, "__mix_size"), F.lit(SALTS)).cast("int")
-        spread = per_source.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("__mix_salt", salt).join(spread, ["__mix_key", "__mix_salt"])
-    n, total, target = F.col("__mix_size"), F.col("__mix_source_size"), F.col("__mix_target")
+        salt = F.pmod(F.xxhash64(id_col, own_size), F.lit(SALTS)).cast("int")
+        spread = per_source.withColumn(own_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(own_salt, salt).join(spread, [own_key, own_salt])
+    n, total, target = F.col(own_size), F.col(found)["size"], F.col(found)["target"]
     epochs = F.when(total > 0, target / total).otherwise(F.lit(0.0))
     most = F.floor(F.lit(float(max_epochs)) * n).cast("long")
-    drawn = joined.withColumn("__mix_taken", F.least(most, F.floor(n * epochs + seeded(seed, F.col(id_col))).cast("long")))
-    taken = F.col("__mix_taken")
-    repeats = F.when(n > 0, F.floor(taken / n)).otherwise(F.lit(0)).cast("long")
-    mixed = F.struct(
-        n.alias("size"),
-        total.alias("source_size"),
-        target.alias("target"),
-        taken.alias("taken"),
-        repeats.alias("repeats"),
-        (taken - repeats * n).alias("part"),
-        F.floor(seeded(seed + "/start", F.col(id_col)) * n).cast("long").alias("part_start"),
-    )
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns if c != into], mixed.alias(into))
+    taken = F.least(most, F.floor(n * epochs + seeded(seed, F.col(id_col))).cast("long"))
+
+    def mixed(taken: Column) -> Column:
+        repeats = F.when(n > 0, F.floor(taken / n)).otherwise(F.lit(0)).cast("long")
+        start = F.floor(seeded(seed + "/start", F.col(id_col)) * n).cast("long")
+        return F.struct(
+            n.alias("size"), total.alias("source_size"), target.alias("target"), taken.alias("taken"),
+            repeats.alias("repeats"), (taken - repeats * n).alias("part"), start.alias("part_start"),
+        )
+
+    return joined.withColumn(into, _let(taken, mixed)).select(*[F.col(f"`{c}`") for c in docs.columns if c != into], into)
+
+
+def mixed_texts(mixed: DataFrame, mix_col: str = "mix", text_col: str = "text") -> DataFrame:
+    """The texts of the mix, from a result of :func:`mix`: its columns, with ``text_col`` as the mix takes it.
+
+    A document that is due ``repeats`` whole repetitions comes that many times,
+    as it stands; a fractional one is one more row, the run of ``part`` words
+    from ``part_start`` that wraps round, joined by spaces. A document of which
+    nothing is taken gives no row, and an empty table none.
+    """
+    due = F.col(mix_col)
+    turns = F.sequence(F.lit(0).cast("long"), due["repeats"] + F.when(due["part"] > 0, 1).otherwise(0) - 1)
+    turn, names = free_name(mixed, "__mix_turn"), mixed.columns
+    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
+    part = _let(words, lambda ws: F.array_join(F.slice(F.concat(ws, ws), (due["part_start"] + 1).cast("int"), due["part"].cast("int")), " "))
+    rows = mixed.where(due["taken"] > 0).withColumn(turn, F.explode(turns))
+    text = F.when(F.col(turn) < due["repeats"], F.col(text_col)).otherwise(part)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

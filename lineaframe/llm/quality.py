@@ -37,7 +37,7 @@ FILTERS = 12
 #: Most labelled rows of each class that training reads, whole texts chosen by a hash of the id. Scoring has no bound.
 TRAIN_ROWS = 1000
 #: Steps of training, and texts of a step.
-STEPS = 120
+STEPS = 80
 BATCH = 100
 RATE = 0.02
 #: Cells of a piece of a long text, and of a pack.
