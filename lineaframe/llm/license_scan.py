@@ -13,6 +13,7 @@ the template's k-grams that it holds and by its length.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +113,29 @@ def template_rows(templates: tuple[Template, ...]) -> list[tuple]:
     return rows
 
 
+def trigger_words(templates: tuple[Template, ...]) -> list[str]:
+    """Words of which every text with a verified span has one.
+
+    A span lacks at most so many k-grams of its template; a set of words that
+    stands in more of them can't be missing whole. Long words are taken first,
+    then those of few templates, as they are rare.
+    """
+    found: set[str] = set()
+    common = Counter(w for t in templates for w in set(t.text.split()))
+    for t in templates:
+        ws = t.text.split()
+        k = min(K, len(ws))
+        grams = [set(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+        lacking = 0 if t.base else sum(1 for n in range(len(grams)) if round(n / len(grams), 4) >= COVERAGE)
+        own: set[str] = set()
+        for w in sorted(set(ws), key=lambda w: (-len(w), common[w], w)):
+            if sum(bool(g & own) for g in grams) > lacking:
+                break
+            own.add(w)
+        found |= own
+    return sorted(found)
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, spans`` of every row of ``docs``.
 
@@ -119,7 +143,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
     from 0, ends exclusive, sorted. Null and empty texts have none; repeated
     rows and null ids stay rows of their own; an empty table gives no rows.
 
-    A document sends on its k-gram hits and one row that stands for itself, so
+    Only texts with a word of :func:`trigger_words` are cut into k-grams. A
+    document sends on its k-gram hits and one row that stands for itself, so
     only these are shuffled, by a number of the row; no text is.
     """
     spark = docs.sparkSession
@@ -131,13 +156,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words")
     )
     n = F.size("words")
-    rolled = numbered.select(
-        "row", "doc_id", n.cast("long").alias("n_words"),
-        # the last entry has no second word and stands for the document itself
-        F.posexplode(F.arrays_zip(
-            F.concat("words", F.array(F.lit(""))).alias("w0"), F.slice("words", 2, F.greatest(n, F.lit(1))).alias("w1"), F.slice("words", 3, F.greatest(n, F.lit(1))).alias("w2"),
-        )).alias("pos", "gram"),
-    ).select("row", "doc_id", "n_words", "pos", "gram.w0", "gram.w1", "gram.w2")
+    # the last entry has no second word and stands for the document itself
+    last = F.struct(F.lit("").alias("w0"), F.lit(None).cast("string").alias("w1"), F.lit(None).cast("string").alias("w2"), n.alias("pos"))
+    grams_of = F.arrays_zip(
+        F.col("words").alias("w0"), F.slice("words", 2, F.greatest(n, F.lit(1))).alias("w1"), F.slice("words", 3, F.greatest(n, F.lit(1))).alias("w2"),
+        F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1).alias("pos"),
+    )
+    triggers = F.array(*[F.lit(w) for w in trigger_words(templates)])
+    cut = F.when(F.arrays_overlap("words", triggers), F.concat(grams_of, F.array(last))).otherwise(F.array(last))
+    rolled = numbered.select("row", "doc_id", n.cast("long").alias("n_words"), F.explode(cut).alias("gram"))
+    rolled = rolled.select("row", "doc_id", "n_words", "gram.pos", "gram.w0", "gram.w1", "gram.w2")
     hit = (F.xxhash64("w0", "w1") == F.col("t_hash")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))
     hit &= F.col("t2").isNull() | (F.col("w2") == F.col("t2"))
     voted = (
