@@ -233,6 +233,7 @@ PROBLEMS: dict[str, Plan | dict] = {
     "overflow": S.filter(col("event_id") < 3).map("big", col("event_id") * 2**62 * 4),
     "overflow of a sum": S.filter(col("event_id") < 3).map("big", lit(2**62)).aggregate([], Agg("s", "sum", "big")),
 }
+#: Fixed values here and below: the wording of problems and sentences.
 _PROBLEMS_SQL = _values(
     [
         ("no column", 1, 'there is no column named "colour"'),
