@@ -1,7 +1,7 @@
 """A training corpus from the table ``documents``, in five stages.
 
 Each stage takes the rows its predecessor kept and returns the columns of
-``documents``, the last one with the amounts of the mix besides. ``run`` writes
+``documents``, the last one with words and targets besides. ``run`` writes
 every stage as Parquet in the folder that the cluster shares and reads it again
 for the next one, so a lost executor costs tasks of one stage.
 """
@@ -45,8 +45,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document, whole repetitions and a part of one."""
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS, "mix.*")
+    """The mixed corpus: a row for each whole repetition of a document and for its part, with its words and the target of its source."""
+    mixed = mixing.mixed_texts(mixing.mix(docs.select(*COLUMNS)))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, mixing.n_words(F.col("text")).alias("words"), "mix.target")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
