@@ -4,7 +4,8 @@ import pytest
 
 #: Columns of documents, then columns that clash with names inside operators and in their results.
 EXTRA = ("score", "size", "row", "words", "spans", "fp", "mix", "found", "component_id", "target", "label", "labelled_id", "sample", "hits",
-         "n_words", "key", "bucket", "tie", "host", "rule", "root", "least", "passages", "document", "fingerprint", "canon")
+         "n_words", "key", "bucket", "tie", "host", "rule", "root", "least", "passages", "document", "fingerprint", "canon",
+         "__found", "__text", "__rounds", "__sim_id", "__sim_null", "__sim_tie", "__sim_turn", "__mix_size", "__mix_key", "__mix_found", "__mix_turn")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in EXTRA)
 
 

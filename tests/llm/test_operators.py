@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
-from conftest_llm import frame, prose, vocabulary
+from conftest_llm import EXTRA, frame, prose, vocabulary
 from pyspark.sql import functions as F
 
 from lineaframe.llm import decontam, fingerprint, html_text, license_scan, mixing, pii, quality, simhash, suffix_dedup, url_filter
@@ -469,6 +469,15 @@ def test_license_notices_survive_small_changes(spark):
     assert got[1] == [("mit", 1)] and got[2] == [("mit", 0)] and got[3] == [] and got[4] == [("mit", 0)] and len(got[5]) == 2
 
 
+def test_no_verified_span_is_without_a_trigger():
+    triggers = set(license_scan.trigger_words(license_scan.BASE + license_scan.NOTICES))
+    for t in license_scan.BASE + license_scan.NOTICES:
+        ws = t.text.split()
+        k = min(3, len(ws))
+        without = sum(not triggers & set(ws[i : i + k]) for i in range(len(ws) - k + 1))
+        assert without < (1 if t.base else license_scan.COVERAGE) * (len(ws) - k + 1)
+
+
 def test_whole_license_texts(spark):
     """Each template as a file carries it, with other words around and a tenth of its words changed."""
     rng = random.Random(27)
@@ -744,6 +753,39 @@ def test_mixing_meets_targets(spark, odd_rows):
     assert [r[0] for r in mixing.mix(frame(spark, [(1, None, None)])).select("mix.taken").collect()] == [0]
 
 
+def test_mixed_texts(spark, odd_rows):
+    """The rows that a mix stands for hold as many words as it takes, whole texts and runs that wrap round."""
+    rng = random.Random(14)
+    rows = [(1000 + i, prose(rng, rng.randrange(1, 60)), f"s{i % 3}") for i in range(100)] + [r for r in odd_rows if r[0] is not None and r[0] != 7]
+    mixed = mixing.mix(frame(spark, rows)).cache()
+    due = {r["doc_id"]: r for r in mixed.collect()}
+    texts: dict = {}
+    for r in mixing.mixed_texts(mixed).collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    for i, r in due.items():
+        m, got = r["mix"], texts.get(i, [])
+        ws = words(r["text"] or "")
+        assert sum(len(words(t)) for t in got) == m["taken"] and len(got) == m["repeats"] + (m["part"] > 0)
+        assert got.count(r["text"]) >= m["repeats"]
+        if m["part"]:
+            assert " ".join((ws + ws)[m["part_start"] : m["part_start"] + m["part"]]) in got
+    assert mixing.mixed_texts(mixing.mix(frame(spark, []))).count() == 0
+    mixed.unpersist()
+
+
+def test_clashing_names_come_back_unchanged(spark):
+    """Columns that have the names operators use on the way."""
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l m")])
+    bench = spark.createDataFrame([(1, "h i j")], "item_id bigint, text string")
+    for out in (
+        simhash.deduplicate(docs), simhash.deduplicate(docs, by_likeness=True), mixing.mix(docs, into="mixed"), mixing.mixed_texts(mixing.mix(docs, into="mixed"), "mixed"),
+        decontam.scan(docs, bench, into="d"), decontam.scan(docs, bench, into="d", block_chars=2), quality.score(docs, quality.train([], []), into="q"),
+    ):
+        assert set(docs.columns) <= set(out.columns) and out.count() >= 2
+        assert all(r[c] == "x" for r in out.collect() for c in EXTRA)
+
+
 def test_mixing_with_very_many_sources(spark, monkeypatch):
     rows = [(i, "a b c", f"s{i % 40}") for i in range(200)]
     want = sorted(map(tuple, mixing.mix(frame(spark, rows)).select("doc_id", "mix.taken").collect()))

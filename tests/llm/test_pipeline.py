@@ -72,12 +72,19 @@ def test_stages(spark, corpus):
                 want.append((r["doc_id"], text, r["lang"], r["source"], len(text) if spans else r["n_chars"]))
             assert any("[EMAIL]" in (r[1] or "") and "[PHONE]" in r[1] for r in want)
         else:
-            want = [tuple(r) for r in given]
-            sizes: dict = {}
+            sizes, words = {}, lambda t: (t or "").split()
             for r in given:
-                sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").split())
-            targets = plain_targets(sizes, (5, 2, 1), 1.5, 2.0)
-            assert all(r["target"] == pytest.approx(targets[r["source"]]) and r["taken"] <= 2 * r["size"] for r in rows)
+                sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r["text"]))
+            targets, taken, whole = plain_targets(sizes, (5, 2, 1), 1.5, 2.0), dict.fromkeys(sizes, 0), {tuple(r)[1] for r in given}
+            for r in rows:
+                assert r["words"] == len(words(r["text"])) and r["n_chars"] == len(r["text"]) and r["target"] == pytest.approx(targets[r["source"]])
+                taken[r["source"]] += r["words"]
+                if r["text"] not in whole:  # a part: a run of the words of its document, wrapped round
+                    own = next(words(g["text"]) for g in given if (g["doc_id"], g["source"]) == (r["doc_id"], r["source"]))
+                    assert " ".join(own + own).find(r["text"]) >= 0
+            assert all(abs(taken[s] - targets[s]) <= 3 + 0.02 * targets[s] for s in sizes)
+            assert max(sum(r["doc_id"] == i for r in rows) for i in {r["doc_id"] for r in rows if r["doc_id"] != 20}) <= 2
+            want = got
         assert got == sorted(want, key=str), name
         if name != "mixing":
             assert out.columns == list(corpus_pipeline.COLUMNS)
