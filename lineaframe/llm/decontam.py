@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineaframe.llm.names import free_name
@@ -103,33 +103,17 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_STATE = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
-
-
-def _scan(text: Column, tables: list[WuManber], spark) -> Column:  # noqa: ANN001
-    shared = spark.sparkContext.broadcast(tables)
-
-    @F.pandas_udf(_STATE)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        searches = shared.value
-        for texts in batches:
-            counts, hits, items = [], [], []
-            for text in texts:
-                words = words_of(text)
-                spans, found = [], set()
-                for table in searches:
-                    for at, ids in table.search(words):
-                        if spans and spans[-1][0] <= at <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], at + table.length))
-                        else:
-                            spans.append((at, at + table.length))
-                        found |= ids
-                counts.append(len(words))
-                hits.append([{"start": s, "end": e} for s, e in merge(spans)])
-                items.append(sorted(found))
-            yield pd.DataFrame({"n_words": counts, "hits": hits, "items": items})
-
-    return scan(text)
+def _search(words: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans of words inside occurrences, and the ids of their items."""
+    spans, found = [], set()
+    for table in tables:
+        for at, ids in table.search(words):
+            if spans and spans[-1][0] <= at <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], at + table.length))
+            else:
+                spans.append((at, at + table.length))
+            found |= ids
+    return merge(spans), sorted(found)
 
 
 def _counted(n_words: int, spans: Iterable[tuple[int, int]], ids: Iterable[str]) -> tuple[int, int, int, str]:
@@ -141,15 +125,32 @@ _RESULT = ["n_words", "n_hit", "n_items", "items_sha256"]
 _RESULT_TYPE = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string"
 
 
-def _summed(state: Column) -> Column:
-    """Counts and digest of what one round has found."""
+def _judged(text: Column, tables: list[WuManber], spark: SparkSession) -> Column:
+    """Counts and digest of a text, where one block holds all tables."""
+    shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf(_RESULT_TYPE)
-    def summed(counts: pd.Series, hits: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = [_counted(n, [(x["start"], x["end"]) for x in spans], ids) for n, spans, ids in zip(counts, hits, items, strict=True)]
-        return pd.DataFrame(rows, columns=_RESULT)
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        searches = shared.value
+        for texts in batches:
+            words = map(words_of, texts)
+            yield pd.DataFrame([_counted(len(ws), *_search(ws, searches)) for ws in words], columns=_RESULT)
+
+    return judged(text)
+
+
+def _hits(text: Column, tables: list[WuManber], spark: SparkSession) -> Column:
+    """What the tables of one block find in a text."""
+    shared = spark.sparkContext.broadcast(tables)
+
+    @F.pandas_udf("hits array<struct<start:int,end:int>>, items array<string>")
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        searches = shared.value
+        for texts in batches:
+            found = [_search(words_of(t), searches) for t in texts]
+            yield pd.DataFrame({"hits": [[{"start": s, "end": e} for s, e in f[0]] for f in found], "items": [f[1] for f in found]})
 
-    return summed(state["n_words"], state["hits"], state["items"])
+    return hits(text)
 
 
 def _summed_rounds(text: Column, found: Column) -> Column:
@@ -227,14 +228,12 @@ def scan(
         "item is not null and body is not null"
     ).distinct()
     if (items.agg(F.sum(F.length("body"))).first()[0] or 0) <= block_chars:
-        state = free_name(docs, "__found")
-        out = docs.withColumn(state, _scan(F.col(text_col), build([(x["item"], x["body"]) for x in items.collect()], window), spark))
-        return out.withColumn(into, _summed(F.col(state))).drop(state)
+        return docs.withColumn(into, _judged(F.col(text_col), build([(x["item"], x["body"]) for x in items.collect()], window), spark))
     key = F.struct(F.xxhash64(text_col).alias("one"), F.xxhash64(F.lit("wide"), text_col).alias("two"))
     texts = docs.where(F.length(text_col) > 0).select(key.alias("key"), F.col(text_col).alias("text"))
     written = []
     for block in _blocks(items, window, block_chars):
-        found = texts.select("key", _scan(F.col("text"), build(block, window), spark).alias("x"))
+        found = texts.select("key", _hits(F.col("text"), build(block, window), spark).alias("x"))
         written.append(keep(found.where(F.size("x.hits") > 0).dropDuplicates(["key"]).select("key", "x.hits", "x.items"), "decontam-hits"))
     digest, rounds = free_name(docs, "__text"), free_name(docs, "__rounds")
     hits = reduce(DataFrame.union, written).groupBy(F.col("key").alias(digest)).agg(F.collect_list(F.struct("hits", "items")).alias(rounds))

@@ -20,11 +20,12 @@ shingle tables, and emits one edge a member, never pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineaframe.llm.simhash import bit_counts, components, majority
@@ -40,6 +41,8 @@ SEED = 42
 #: Classes, and shingles, of a block of a node.
 PART = 512
 PART_SHINGLES = 400_000
+#: Rows with whole texts that go to Python at once.
+BATCH_ROWS = 500
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -92,6 +95,18 @@ def _sketches(text: Column) -> Column:
     return sketches(text)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts go to Python a few at a time while a table is written; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` whose texts are alike enough."""
 
@@ -101,7 +116,8 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u"))
     two = texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v"))
-    return keep(pairs.join(one, "u").join(two, "v").where(alike("text_u", "text_v")).select("u", "v"), "near-links")
+    with _small_batches(pairs.sparkSession):
+        return keep(pairs.join(one, "u").join(two, "v").where(alike("text_u", "text_v")).select("u", "v"), "near-links")
 
 
 def _by_simhash(codes: DataFrame) -> DataFrame:
@@ -221,7 +237,8 @@ def _by_nodes(members: DataFrame, texts: DataFrame, roots: DataFrame, part: int)
     task = [*key, "a", "b"]
     dealt = rooted.join(main, key).select(*key, F.explode(met).alias("x"), "fp", "root").select(*key, "x.a", "x.b", "fp", "root")
     dealt = dealt.join(texts, "fp").repartition(*task).sortWithinPartitions(*task)
-    return dealt.mapInPandas(_links_of, "u bigint, v bigint").distinct()
+    with _small_batches(members.sparkSession):
+        return keep(dealt.mapInPandas(_links_of, "u bigint, v bigint").distinct(), "near-links")
 
 
 def link(codes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], part: int | None = None) -> DataFrame:
@@ -244,7 +261,8 @@ def link(codes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], part: int
 def rooted_classes(keyed: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """One row ``fp, first, root`` for each class: the least keys of its documents, and the least class linked to it."""
     ship(keyed.sparkSession)
-    sketched = keep(keyed.select(*keys, _sketches(F.col(text_col)).alias("s")).select(*keys, "s.*"), "near-sketch")
+    with _small_batches(keyed.sparkSession):
+        sketched = keep(keyed.select(*keys, _sketches(F.col(text_col)).alias("s")).select(*keys, "s.*"), "near-sketch")
     codes = keep(sketched.groupBy("fp").agg(F.min(F.struct(*keys, "n", "sim", "nodes")).alias("first")), "near-codes")
     firsts = codes.select("fp", F.struct(*[F.col(f"first.{k}") for k in keys]).alias("first"))
 
