@@ -192,8 +192,9 @@ def engine_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of every kind as they go into JSON: large integers and times as text, places as pairs, missing as null."""
     engine = _engine(spark, sf_dir, "places")
-    big = S.map("big", col("vec_id") * 1_000_000_000_000_000).map("small", col("vec_id").eq(3)).map("at", lit(stamp("2024-02-29T23:59:59.5")) + col("vec_id"))
-    run = engine.run(big.project("vec_id", "big", "small", "at", "place").limit(12))
+    # the limit comes first: a map is evaluated over all rows that it reads, and the product overflows from row 9224 on
+    big = S.limit(12).map("big", col("vec_id") * 1_000_000_000_000_000).map("small", col("vec_id").eq(3)).map("at", lit(stamp("2024-02-29T23:59:59.5")) + col("vec_id"))
+    run = engine.run(big.project("vec_id", "big", "small", "at", "place"))
     rows = [(r[0], *(json.dumps(x) if i != 3 else json.dumps([round(y, 6) for y in x] if x else x) for i, x in enumerate(r[1:]))) for r in run["output"]["rows"]]
     return spark.createDataFrame(rows, "vec_id bigint, big string, small string, at string, place string")
 
