@@ -31,7 +31,7 @@ from lineaframe.plans.plan import Agg, Plan, validate
 from lineaframe.plans.planjson import canonical, plan_json, read_plan
 from lineaframe.plans.types import stamp
 from lineaframe.sources import cli, raw, snapshot
-from lineaframe.sources.clean import Cleaned, clean, known_issues
+from lineaframe.sources.clean import Cleaned, clean, known_issues, read_time
 from lineaframe.sources.fetch import HttpError, Retry, fetch_seeclickfix, fetch_socrata, flattened, metadata_of, utc_text
 from lineaframe.sources.spec import NYC_311, WESTCHESTER, Drift, Scope, check_metadata
 from lineaframe.sources.tables import RID, Table, from_dataframe
@@ -603,10 +603,20 @@ def flatten_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flattened(issues(spark, sf_dir)).where("record is null").groupBy("organization").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _scope_of(requests: DataFrame) -> Scope:
+    """Whole days that hold the creation time of every request, however many there are."""
+    text = F.substring(F.get_json_object("raw", "$.created_at"), 1, 19)
+    text = F.when(read_time(text).isNotNull(), text)
+    first, last = requests.agg(F.min(text), F.max(text)).first()
+    first, last = (dt.date.fromisoformat((t or "2024-01-01")[:10]) for t in (first, last))
+    return Scope.dates("created_date", first.isoformat(), (last + dt.timedelta(1)).isoformat())
+
+
 def clean_westchester(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean rows of the second dataset."""
-    records = flattened(issues(spark, sf_dir)).where("record is not null").select(F.col("record").alias("raw"))
-    rows = clean(records, WESTCHESTER, Scope.dates("created_date", "2024-01-01", "2030-01-01")).rows
+    requests = issues(spark, sf_dir)
+    records = flattened(requests).where("record is not null").select(F.col("record").alias("raw"))
+    rows = clean(records, WESTCHESTER, _scope_of(requests)).rows
     at = {c.name: F.col(f"c{i}") for i, c in enumerate(WESTCHESTER.columns)}
     return rows.select(F.col(RID).alias("row_index"), at["unique_key"].alias("key"), at["town"].alias("town"), at["complaint_type"].alias("kind"), at["closed_date"].alias("closed"), at["location"].isNotNull().alias("placed"))
 

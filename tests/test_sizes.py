@@ -27,3 +27,15 @@ def against_sql(spark, tmp_path):
 
 def test_cells_of_a_table_whose_later_rows_would_overflow(against_sql):
     assert against_sql("engine_cells", embeddings="SELECT range AS vec_id, 0 AS label, [(range / 7)::FLOAT, (-range)::FLOAT] AS embedding FROM range(9300)")
+
+
+#: Requests from 2024 to 2037, as tables of over 26,304 documents have them.
+MANY = "SELECT range * 97 AS doc_id FROM range(600)"
+
+
+def test_requests_of_any_year_are_cleaned(against_sql):
+    assert against_sql("clean_westchester", documents=MANY)
+
+
+def test_no_requests_are_cleaned(against_sql):
+    assert against_sql("clean_westchester", documents=f"{MANY} WHERE false")
