@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from contextlib import redirect_stderr, redirect_stdout
 from dataclasses import asdict
 from io import StringIO
+from itertools import islice
 from pathlib import Path
 from urllib.parse import parse_qs, urlsplit
 
@@ -687,16 +688,20 @@ def socrata_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seeclickfix_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of replayed requests, one page twice; then the snapshot made of them."""
-    found = [json.loads(r["raw"]) for r in issues(spark, sf_dir).orderBy(F.get_json_object("raw", "$.id").cast("bigint")).toLocalIterator()]
-    pages = [found[i : i + 100] for i in range(0, len(found), 100)]
-    pages.insert(1, pages[0])
+    requests, size = issues(spark, sf_dir), 100
+    number_of_pages = -(-requests.count() // size) + 1
+    texts = (r["raw"] for r in requests.orderBy(F.get_json_object("raw", "$.id").cast("bigint")).toLocalIterator())
+    page: list[str] = []  # the only one here
 
     def replay(url: str) -> bytes:
         number = int(parse_qs(urlsplit(url).query)["page"][0])
-        return json.dumps({"issues": pages[number - 1], "metadata": {"pagination": {"next_page": number + 1 if number < len(pages) else None}}}).encode()
+        if number != 2:  # the second page is the first one again
+            page[:] = islice(texts, size)
+        pagination = {"pagination": {"next_page": number + 1 if number < number_of_pages else None}}
+        return f'{{"issues": [{", ".join(page)}], "metadata": {json.dumps(pagination)}}}'.encode()
 
     root = _new_folder(spark, "fetched")
-    record = fetch_seeclickfix(WESTCHESTER, Scope.dates("created_date", "2024-01-01", "2030-01-01"), replay, root, pause=0.0)
+    record = fetch_seeclickfix(WESTCHESTER, _scope_of(requests), replay, root, size, max_pages=number_of_pages, pause=0.0)
     summary = json.loads((root / "source.json").read_text())
     _, manifest = snapshot.build(spark, str(root), str(_new_folder(spark, "snapshots")))
     rows = [("records", record.raw_records), ("duplicates", summary["duplicates"]), ("skipped", sum(summary["skipped_by_organization"].values())), ("rows", manifest["rows"])]

@@ -39,3 +39,12 @@ def test_requests_of_any_year_are_cleaned(against_sql):
 
 def test_no_requests_are_cleaned(against_sql):
     assert against_sql("clean_westchester", documents=f"{MANY} WHERE false")
+
+
+def test_requests_of_any_year_are_fetched(against_sql):
+    assert against_sql("seeclickfix_fetch", documents=MANY)
+
+
+@pytest.mark.parametrize("n", [1, 100, 101])
+def test_pages_that_are_full_or_not(against_sql, n):
+    assert against_sql("seeclickfix_fetch", documents=f"{MANY} LIMIT {n}")
